@@ -167,7 +167,7 @@ def train(rows: list[tuple[np.ndarray, float]], seed: int = 1) -> np.ndarray:
 
 def classify(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, votes (array of -1, 0, 1 as in LABELLERS), weak_label (posterior of good), score (of
-    the scorer, 0 to 1), keep (score >= KEEP).
+    the scorer, 0 to 1), keep (either is at least KEEP: what goes is bad by both).
 
     Only doc_id and text are read. A null text counts as empty, an empty one is voted on like any other;
     repeated rows get equal results, null ids too. If there are no rows the model knows nothing and the result is
@@ -216,7 +216,7 @@ def classify(docs: DataFrame) -> DataFrame:
                 out[1] += [by.get(tuple(x), 0.5) for x in v.tolist()]
                 out[2] += (1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist()
             types = [pa.list_(pa.int8()), pa.float64(), pa.float64()]
-            keep = pa.array([s >= KEEP for s in out[2]], pa.bool_())
+            keep = pa.array([max(y, s) >= KEEP for y, s in zip(*out[1:])], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types)], keep], ["doc_id", "votes", "weak_label", "score", "keep"])
 
     fields = [StructField("weak_label", DoubleType()), StructField("score", DoubleType()), StructField("keep", BooleanType())]
