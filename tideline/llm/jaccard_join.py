@@ -14,7 +14,11 @@ are one class from the start; what shares a signature is verified on whole sets.
 Pairs are verified in two rounds. The first takes for each set only the partner with which it
 meets most often as head of a list; groups of near copies become one component here without
 all their pairs. The second takes every remaining pair of a list whose sides lie in different
-components, so no link that could join two components is left out.
+components, so no link that could join two components is left out. Of two prefixes the one that
+ends first in the total order has all common elements up to there in both, so a pair's overlap is at
+most the number of lists it shares plus what one set has beyond its prefix. A pair therefore needs some
+number of common lists, and is looked for only in as many of each side's lists, rarest first, as
+must hold one of them; long lists of texts that share a passage drop out here.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from .components import components
 WORDS = 5
 #: Similarity 75 / 100, as integers.
 NUM, DEN = 75, 100
+#: Up to so many document ids are sent to all executors to pick out texts; more are joined by a shuffle.
+FEW = 500_000
 #: Frequent shingles that are ordered last: at most so many, each seen at least so often in one block of documents.
 HEAVY, SEEN = 100_000, 4
 BLOCK = 4 << 20
@@ -169,6 +175,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of document ids that are similar, by their whole texts."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = stored(ids, "ids")
+    if ids.count() <= FEW:
+        ids = F.broadcast(ids)
     sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingled, "doc_id long, shingles binary")
     sets = stored(sets, "sets")
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -217,10 +226,14 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     close = lambda p, q: DEN * F.least(p, q) >= NUM * F.greatest(p, q)
     fit = lambda p, q: close(p, q) & ((F.col("sig") < 0) | (F.greatest(p, q) > x))
+    whole = lambda n, a, b: F.floor((n * a + b - 1) / F.lit(b))  # noqa: E731  n * a / b rounded up
+    least = lambda p, q: whole(p + q, NUM, NUM + DEN)  # noqa: E731  overlap that a link needs
+    enough = lambda c, p, q: c + whole(F.greatest(p, q), NUM, DEN) - 1 >= least(p, q)
 
     # First round: for each node the head of a list that it meets most often.
     heads = nodes.where("doc_id = node").select(F.col("node").alias("head"), F.col("n").alias("head_n"))
-    best = lists.where("node <> head").groupBy("head", "node", "n").agg(F.count("*").alias("c")).join(heads, "head").where(close(F.col("n"), F.col("head_n")))
+    best = lists.where("node <> head").groupBy("head", "node", "n").agg(F.count("*").alias("c"), F.min("sig").alias("s")).join(heads, "head")
+    best = best.where(close(F.col("n"), F.col("head_n")) & ((F.col("s") < 0) | enough(F.col("c"), F.col("n"), F.col("head_n"))))
     best = best.groupBy("node").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m"))
     first = verified(best.select((-F.col("m.h")).alias("a"), F.col("node").alias("b")), docs)
     label = stored(components(first), "labels")
@@ -228,10 +241,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     # Second round: what still lies in different components.
     far = lists.join(label.withColumnRenamed("id", "node"), "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"))
     far = far.withColumns({"low": F.min("c").over(every), "high": F.max("c").over(every)}).where("low < high").select("sig", "node", "n", "c")
+    # A pair needs c_min common lists; of each side's lists, rarest first, one of the first (all - c_min + 1) is common.
+    own = Window.partitionBy("node").orderBy("length", "sig")
+    far = far.withColumn("length", F.count("*").over(every)).withColumns({"k": F.row_number().over(own), "m": F.count("*").over(Window.partitionBy("node"))})
     far = stored(far, "far")
-    p, q = far.alias("p"), far.select("sig", *(F.col(k).alias(f"{k}2") for k in ("node", "n", "c"))).alias("q")
-    pairs = p.join(q, "sig").where((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & fit(F.col("n"), F.col("n2")))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(first._pairs, ["a", "b"], "left_anti")
+    p, q = far.alias("p"), far.select("sig", *(F.col(k).alias(f"{k}2") for k in ("node", "n", "c", "k", "m"))).alias("q")
+    n1, n2 = F.col("n"), F.col("n2")
+    c_min = F.when(F.col("sig") < 0, 1).otherwise(F.greatest(F.lit(1), least(n1, n2) - whole(F.greatest(n1, n2), NUM, DEN) + 1))
+    early = (F.col("k") <= F.col("m") - c_min + 1) & (F.col("k2") <= F.col("m2") - c_min + 1)
+    pairs = p.join(q, "sig").where((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & fit(n1, n2) & early)
+    pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"), "n", "n2").distinct()
+    pairs = pairs.select("a", "b").join(first._pairs, ["a", "b"], "left_anti")
     second = verified(pairs, docs)
     out = stored(components(first.unionByName(second)), "labels")
     drop_stored(lists, far, label, seen)
