@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import drop_stored, stored, work_dir
-from .tokens import Encoder, default_path
+from .tokens import default_path, encoder
 
 LIMIT = 18
 BLOCK = 1 << 16
@@ -134,7 +134,7 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
     def run(batches):
         from pyspark import TaskContext
 
-        part, encoder, end = TaskContext.get().partitionId(), Encoder(path), int(end_id).to_bytes(4, "little")
+        part, encode, end = TaskContext.get().partitionId(), encoder(path).encode, int(end_id).to_bytes(4, "little")
         block, docs_, sizes, chunks, total = 0, [], [], [], 0
 
         def flush():
@@ -144,7 +144,7 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 some = batch.slice(k, ROWS)
-                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1))):
+                for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     docs_.append(doc)
                     sizes.append(len(ids) + 1)
                     chunks += (ids.tobytes(), end)
@@ -199,8 +199,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     drop_stored(blocks)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of each document, decoded from the files; ids are packed 32-bit integers."""
+def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document, decoded from the files; ids are packed 32-bit integers."""
     rows = spark.read.schema("id long, bits long").parquet(f"{folder}/book").toPandas()
     lengths = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
     lengths[rows["id"]] = rows["bits"]
@@ -224,15 +224,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 ends = np.cumsum(sizes)
                 own = [ids[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
                 n = len(own)
-                cols = [pa.array([part.as_py()] * n, pa.int64()), pa.array([block.as_py()] * n, pa.int64()), docs.values, pa.array(ends - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"])
+                cols = [pa.array([part.as_py()] * n, pa.int64()), pa.array([block.as_py()] * n, pa.int64()), docs.values, pa.array(ends - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                cols += [pa.array(own, pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(cols, ["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    rows = blocks.mapInArrow(decode, "part long, block long, doc_id long, inside long, n_tokens long, ids_crc32 long, ids binary")
-    return rows.join(begins, ["part", "block"]).select("doc_id", (F.col("begin") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    rows = blocks.mapInArrow(decode, "part long, block long, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.join(begins, ["part", "block"]).select("doc_id", (F.col("begin") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write the files to the shared folder and read them back: doc_id, start, n_tokens, ids_crc32."""
     folder = f"{work_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write(docs, folder, path)
-    return read(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(docs.sparkSession, folder, with_ids=False)

@@ -23,7 +23,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from pyspark.sql.window import Window
 
 from .common import stored
-from .tokens import Encoder, default_path
+from .tokens import default_path, encoder
 
 LENGTH = 2048
 END_ID = 0
@@ -42,12 +42,12 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_i
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches):
-        encoder, end = Encoder(path), int(end_id).to_bytes(4, "little")
+        encode, end = encoder(path).encode, int(end_id).to_bytes(4, "little")
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
                     ids = ids.tobytes() + end
                     for p, a in enumerate(range(0, len(ids), 4 * length)):
                         cut = ids[a : a + 4 * length]

@@ -2,7 +2,7 @@
 
 Texts of Latin letters, digits and ASCII marks are lower-cased and cut into pieces here, as the
 vocabulary's own rules say, for whole blocks of bytes at a time. Pieces are told apart by 64-bit
-hashes; only those that a task hasn't met go through the library's merges, thousands in one call. The ids
+hashes; only those that a process hasn't met go through the library's merges, thousands in one call. The ids
 of a block are then gathered from the table of known pieces. Texts with any other character are cut
 at white space, across which the vocabulary never joins, and those parts go through the whole library.
 """
@@ -12,13 +12,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
 from .common import LOWER, SPACE, WordHasher, groups_of, text_bytes
 
-#: Pieces and parts a task remembers; beyond that it forgets all and starts anew.
-MEMORY = 1_000_000
+#: Pieces and parts a process remembers; beyond that it forgets all and starts anew.
+MEMORY = 800_000
 BLOCK = 4 << 20
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -84,6 +86,14 @@ def _pieces(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+def encoder(path: str) -> "Encoder":
+    """The encoder of this Python process, which remembers pieces from one task to the next."""
+    held = sys.modules.setdefault("_tideline_encoders", types.ModuleType("_tideline_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 class Encoder:
     """Texts to ids, for a vocabulary of words whose file is at `path`."""
 
