@@ -37,6 +37,8 @@ from .components import components
 WORDS = 5
 #: Similarity 75 / 100, as integers.
 NUM, DEN = 75, 100
+#: A task takes lists of up to so many documents into memory; longer ones are joined.
+LONG = 50_000
 #: Up to so many document ids are sent to all executors to pick out texts; more are joined by a shuffle.
 FEW = 500_000
 #: Frequent shingles that are ordered last: at most so many, each seen at least so often in one block of documents.
@@ -152,6 +154,42 @@ def prefixes(heavy, x: int):
     return run
 
 
+def paired(x: int):
+    """Pairs (a, b) of the lists in rows (head, sig, node, n, c: component, k: rank of this list among the node's, m: how
+    many it has), sorted by head and list, that may be links: each pair about once for each head."""
+
+    def run(batches):
+        rest = np.zeros((7, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+            last = np.flatnonzero(rows[1] != rows[1, -1]) if rows.shape[1] else rows[1]
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last list may go on in the next batch
+            rest = rows[:, cut:]
+            yield from pairs_of(rows[:, :cut])
+        yield from pairs_of(rest)
+
+    def pairs_of(rows: np.ndarray):
+        _, sig, node, n, c, k, m = rows
+        found = []
+        at, d = np.arange(len(sig)), 0
+        while len(at):
+            d += 1
+            at = at[at + d < len(sig)]
+            at = at[sig[at] == sig[at + d]]
+            i, j = at, at + d
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            need = -(-NUM * (low + high) // (NUM + DEN)) + (-NUM * high // DEN) + 1
+            need = np.where(sig[i] < 0, 1, np.maximum(1, need))
+            ok = (c[i] != c[j]) & (DEN * low >= NUM * high) & ((sig[i] < 0) | (high > x)) & (k[i] <= m[i] - need + 1) & (k[j] <= m[j] - need + 1)
+            i, j = i[ok], j[ok]
+            found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
+        if found and (pairs := np.concatenate(found, axis=1)).shape[1]:
+            a, b = np.unique(pairs, axis=1)
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
 def shingled(batches):
     """(doc_id, shingles): the whole set as sorted 64-bit integers in a binary value."""
     hasher = WordHasher()
@@ -239,19 +277,23 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     label = stored(components(first), "labels")
 
     # Second round: what still lies in different components.
-    far = lists.join(label.withColumnRenamed("id", "node"), "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"))
-    far = far.withColumns({"low": F.min("c").over(every), "high": F.max("c").over(every)}).where("low < high").select("sig", "node", "n", "c")
+    far = lists.join(label.withColumnRenamed("id", "node"), "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"), "head")
+    far = far.withColumns({"low": F.min("c").over(every), "high": F.max("c").over(every)}).where("low < high").select("sig", "node", "n", "c", "head")
     # A pair needs c_min common lists; of each side's lists, rarest first, one of the first (all - c_min + 1) is common.
     own = Window.partitionBy("node").orderBy("length", "sig")
     far = far.withColumn("length", F.count("*").over(every)).withColumns({"k": F.row_number().over(own), "m": F.count("*").over(Window.partitionBy("node"))})
     far = stored(far, "far")
-    p, q = far.alias("p"), far.select("sig", *(F.col(k).alias(f"{k}2") for k in ("node", "n", "c", "k", "m"))).alias("q")
+    # Lists of one passage have the same head, so their pairs meet in one task. Longer lists than LONG are joined.
+    short = far.where(F.col("length") <= LONG).select("head", "sig", "node", "n", "c", "k", "m").repartition("head").sortWithinPartitions("head", "sig")
+    short = short.mapInArrow(paired(x), "a long, b long")
+    far_long = far.where(F.col("length") > LONG)
+    q = far_long.select("sig", *(F.col(k).alias(f"{k}2") for k in ("node", "n", "c", "k", "m")))
     n1, n2 = F.col("n"), F.col("n2")
     c_min = F.when(F.col("sig") < 0, 1).otherwise(F.greatest(F.lit(1), least(n1, n2) - whole(F.greatest(n1, n2), NUM, DEN) + 1))
     early = (F.col("k") <= F.col("m") - c_min + 1) & (F.col("k2") <= F.col("m2") - c_min + 1)
-    pairs = p.join(q, "sig").where((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & fit(n1, n2) & early)
-    pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"), "n", "n2").distinct()
-    pairs = pairs.select("a", "b").join(first._pairs, ["a", "b"], "left_anti")
+    long = far_long.join(q, "sig").where((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & fit(n1, n2) & early)
+    pairs = short.unionByName(long.select(F.col("node").alias("a"), F.col("node2").alias("b"))).distinct()
+    pairs = pairs.join(first._pairs, ["a", "b"], "left_anti")
     second = verified(pairs, docs)
     out = stored(components(first.unionByName(second)), "labels")
     drop_stored(lists, far, label, seen)
