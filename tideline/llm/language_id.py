@@ -79,10 +79,11 @@ def automaton(codes: np.ndarray) -> np.ndarray:
                     edges[p][c] = clone
                     p = link[p]
         last = cur
-    fresh = np.zeros(ALPHABET, np.int64)  # what begins with an unknown character is a phrase of its own
+    # One more state, the last: before a text's first character, and behind one that the training text lacks.
+    fresh = np.full(ALPHABET, len(edges))
     for c, q in edges[0].items():
         fresh[c] = q
-    table = np.tile(fresh * ALPHABET * 2 + 1, (len(edges), 1))
+    table = np.tile(fresh * ALPHABET * 2 + 1, (len(edges) + 1, 1))
     for p, known in enumerate(edges):
         for c, q in known.items():
             table[p, c] = q * ALPHABET * 2
@@ -100,6 +101,7 @@ class Model:
         codes = [c[: max(least, 1)] for c in codes]  # equal lengths, so that no language gains by more text
         tables = [automaton(c) for c in codes]
         self.base = np.cumsum([0, *map(len, tables)])[:-1]
+        self.begin = [len(t) - ALPHABET for t in tables]
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.bits = np.array([np.log2(max(2, len(c))) for c in codes])
 
@@ -118,7 +120,7 @@ class Model:
         out = np.zeros((len(coded), len(self.languages)))
         for k, base in enumerate(self.base.tolist()):
             table = self.table[base:]
-            state, count = np.zeros(len(size), np.int64), np.ones(len(size), np.int64)
+            state, count = np.full(len(size), self.begin[k]), np.zeros(len(size), np.int64)
             for t, n in enumerate(still.tolist()):
                 step = table[state[:n] + flat[begin[:n] + t]]
                 count[:n] += step & 1

@@ -69,30 +69,40 @@ def sweep(counts: dict[int, int], length: int = LENGTH) -> tuple[np.ndarray, int
     gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs of sequences (first, how many)
     sizes: list[int] = []  # sizes that have runs, ascending
     opened = 0
+
+    def leave(gap: int, run: tuple[int, int]) -> None:
+        if gap:
+            if gap not in gaps:
+                gaps[gap] = []
+                bisect.insort(sizes, gap)
+            gaps[gap].append(run)
+
     for size in sorted(counts, reverse=True):
         left, rank = counts[size], 0
         while left:
             at = bisect.bisect_left(sizes, size)
+            gap = length if at == len(sizes) else sizes[at]
+            most = gap // size  # what is left of a gap is its pieces' next best fit, so each takes so many
             if at == len(sizes):
-                gap, runs = length, [(opened, left)]
-                opened += left
+                n = -(-left // most)
+                runs = [(opened, n)]
+                opened += n
             else:
-                gap = sizes[at]
                 runs = gaps[gap]
-            rest = gap - size
             while runs and left:
                 first, n = runs.pop()
-                k = min(n, left)
-                out.append((size, rank, first, length - gap))
-                if k < n:
-                    runs.append((first + k, n - k))
-                if rest:
-                    if rest not in gaps:
-                        gaps[rest] = []
-                        bisect.insort(sizes, rest)
-                    gaps[rest].append((first, k))
-                rank, left = rank + k, left - k
-            if not runs and gap in gaps and at < len(sizes):
+                full = min(n, left // most)
+                if full:
+                    out += [(size, rank + k * full, first, length - gap + k * size) for k in range(most)]
+                    leave(gap - most * size, (first, full))
+                    rank, left, first, n = rank + full * most, left - full * most, first + full, n - full
+                if n and left:  # fewer than one gap takes
+                    out += [(size, rank + k, first, length - gap + k * size) for k in range(left)]
+                    leave(gap - left * size, (first, 1))
+                    rank, left, first, n = rank + left, 0, first + 1, n - 1
+                if n:
+                    runs.append((first, n))
+            if not runs and gaps.get(gap) is runs:
                 del gaps[gap]
                 sizes.remove(gap)
     return np.array(out, np.int64).reshape(-1, 4), opened
