@@ -42,8 +42,8 @@ LONG = 50_000
 #: Up to so many document ids are sent to all executors to pick out texts; more are joined by a shuffle.
 FEW = 500_000
 #: Frequent shingles that are ordered last: at most so many, each seen at least so often in one block of documents.
-HEAVY, SEEN = 100_000, 4
-BLOCK = 4 << 20
+HEAVY, SEEN = 100_000, 3
+BLOCK = 2 << 20
 SUBSET = np.uint64(1 << 63)
 
 

@@ -24,7 +24,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_LONGEST = 400, 60_000, 20_000
 ALPHABET = 96
 BLOCK = 2048
-SLICE = 4 << 20
+SLICE = 2 << 20
+ROWS = 1024
 #: A text whose best language needs more bits per character than this is in none of them.
 MOST_BITS = 6.0
 
@@ -197,7 +198,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            best, score, bits = m.predict(batch.column(at).to_pylist())
+            some = [m.predict(batch.column(at).slice(k, ROWS).to_pylist()) for k in range(0, batch.num_rows, ROWS)]
+            best, score, bits = (np.concatenate(c) for c in zip(*some)) if some else m.predict([])
             names = np.array([*m.languages, "und"], object)[best]
             cols = [pa.array(names, pa.string()), pa.array(score), pa.array(bits)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *new])

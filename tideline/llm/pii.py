@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -24,7 +25,7 @@ from .common import LOWER, groups_of, text_bytes, word_bounds
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: The last kind is the field's, the others are the patterns'.
 BASE_KINDS = KINDS[:-1]
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 LABELS = 3  # O, K, S
 
 # ---------------------------------------------------------------- patterns
@@ -324,7 +325,7 @@ def _with_arrow(docs: DataFrame, fields: list[StructField], make) -> DataFrame:
             found = []
             for i, j in groups_of(np.diff(offs), BLOCK):
                 found += spans_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], model)
-            cols = [pa.array(c, t) for c, t in zip(make(batch.column(at), found), types)]
+            cols = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(make(batch.column(at), found), types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *(f.name for f in fields)])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
@@ -348,16 +349,16 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def make(column, found):
         out = []
-        for text, spans in zip(column.to_pylist(), found):
+        for k, spans in enumerate(found):
             if spans:
+                text = column[k].as_py()
                 parts, at = [], 0
-                for s, e, k in sorted((s, e, k) for k, s, e in spans):
+                for s, e, kind in sorted((s, e, kind) for kind, s, e in spans):
                     if s >= at:
-                        parts += [text[at:s], f"[{KINDS[k].upper()}]"]
+                        parts += [text[at:s], f"[{KINDS[kind].upper()}]"]
                     at = max(at, e)
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        return [out]
+                out.append("".join([*parts, text[at:]]))
+        return [pc.replace_with_mask(column, pa.array([bool(f) for f in found], pa.bool_()), pa.array(out, column.type))]
 
     columns = docs.columns
     return _with_arrow(docs, [StructField("text_redacted_", StringType())], make).select(*[F.col("text_redacted_").alias("text") if c == "text" else F.col(c) for c in columns])

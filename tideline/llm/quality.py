@@ -21,7 +21,7 @@ from .common import SPACE, WordHasher, groups_of, mix, stored, text_bytes, word_
 TRAIN_ROWS, TRAIN_LONGEST = 4000, 60_000
 HASH_BITS, EPOCHS, RATE, DECAY = 18, 12, 0.5, 1e-6
 KEEP = 0.5
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 LABELLERS = ("words", "symbols", "lines", "variety", "commonest", "capitals", "word_length", "marks", "digits", "repeats")
 
 _UPPER, _DIGIT, _SYMBOL, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)

@@ -21,7 +21,7 @@ from .common import LOWER, SPACE, WordHasher, groups_of, text_bytes
 
 #: Pieces and parts a process remembers; beyond that it forgets all and starts anew.
 MEMORY = 800_000
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 _OWN = np.zeros(256, bool)
