@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Labelled rows and characters per language that training reads at most, and the longest row it takes.
-TRAIN_ROWS, TRAIN_CHARS, TRAIN_LONGEST = 400, 60_000, 20_000
-ALPHABET = 96
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_LONGEST = 400, 40_000, 20_000
+ALPHABET = 48
 BLOCK = 2048
 SLICE = 2 << 20
 ROWS = 1024
