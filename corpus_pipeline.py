@@ -25,8 +25,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least id of each group of similar ones."""
-    keep = jaccard_join.jaccard_join(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    gone = stored(jaccard_join.jaccard_join(docs).where("doc_id <> component_id").select("doc_id"), "gone")
+    if gone.count() <= jaccard_join.FEW:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
