@@ -29,6 +29,8 @@ SHARE, CAP = 1.5, 2
 BLOCK = 4096
 #: Documents of a source that stay out of its last flight.
 LANDING = 12
+#: Up to so many decisions are sent to all executors; more are joined by a shuffle.
+FEW = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -169,15 +171,20 @@ def mix(docs: DataFrame) -> DataFrame:
     Where rows agree in doc_id, source and size, copies go to them in any order.
     """
     keys = ["doc_id", "source", "size_"]
-    taken = choose(docs).groupBy("doc_id", "source", "size").agg(*[F.sum((F.col("copies") == k).cast("long")).alias(f"n{k}_") for k in (2, 1)])
-    taken = stored(taken.where("n1_ + n2_ > 0"), "taken").select(*[F.col(c).alias(f"{c.rstrip('_')}_t") for c in ("doc_id", "source", "size")], "n1_", "n2_")
+    count = [F.count("*").alias("rows_"), *[F.sum((F.col("copies") == k).cast("long")).alias(f"n{k}_") for k in (2, 1)]]
+    taken = stored(choose(docs).groupBy("doc_id", "source", "size").agg(*count).where("n1_ + n2_ > 0"), "taken")
+    single = taken.where("rows_ > 1").isEmpty()
+    few = taken.count() <= FEW
+    taken = taken.select(*[F.col(c).alias(f"{c}_t") for c in ("doc_id", "source", "size")], "n1_", "n2_")
     rows = docs.withColumn("size_", size_of(F.col("text"))).alias("d")
     on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("doc_id_t")) & F.col("d.source").eqNullSafe(F.col("source_t")) & (F.col("size_") == F.col("size_t"))
-    both = rows.join(taken, on)
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
-    both = both.withColumn("nth_", F.when(F.col("n1_") + F.col("n2_") + F.lit(0) >= 0, nth))
-    copies = F.when(F.col("nth_") <= F.col("n2_"), 2).when(F.col("nth_") <= F.col("n2_") + F.col("n1_"), 1).otherwise(0)
-    return both.withColumn("copy_", F.explode(F.sequence(F.lit(0), copies))).where("copy_ > 0").select(*docs.columns)
+    both = rows.join(F.broadcast(taken) if few else taken, on)
+    if single:
+        copies = 2 * F.col("n2_") + F.col("n1_")
+    else:
+        both = both.withColumn("nth_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+        copies = F.when(F.col("nth_") <= F.col("n2_"), 2).when(F.col("nth_") <= F.col("n2_") + F.col("n1_"), 1).otherwise(0)
+    return both.withColumn("copy_", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long")))).where("copy_ > 0").select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
