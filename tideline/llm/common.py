@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -43,6 +44,31 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+
+def tidy(run):
+    """run (batches to batches) that hands free memory back when its task ends: idle workers count in an executor's memory."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
+def slices(batch: pa.RecordBatch, at: int, most: int):
+    """A batch in runs of rows whose texts (column `at`) have about `most` bytes together."""
+    _, offs = text_bytes(batch.column(at))
+    for i, j in groups_of(np.diff(offs), most):
+        yield batch.slice(i, j - i)
+
+
 # ---------------------------------------------------------------- bytes and words
 
 #: Word separators: \x20 and \x09-\x0D.

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHasher, drop_stored, groups_of, mix, stored, text_bytes, word_bounds
+from .common import WordHasher, drop_stored, groups_of, mix, stored, text_bytes, tidy, word_bounds
 from .components import components
 
 WORDS = 5
@@ -216,11 +216,11 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = stored(ids, "ids")
     if ids.count() <= FEW:
         ids = F.broadcast(ids)
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingled, "doc_id long, shingles binary")
+    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(shingled), "doc_id long, shingles binary")
     sets = stored(sets, "sets")
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    out = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(overlapping, "a long, b long"), "links")
+    out = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(overlapping), "a long, b long"), "links")
     drop_stored(sets)
     out._pairs = pairs
     return out
@@ -237,7 +237,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    seen = stored(docs.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, sig long"), "shingles")
+    seen = stored(docs.mapInArrow(tidy(describe), "doc_id long, n long, k1 long, k2 long, sig long"), "shingles")
     narrow = seen.where("sig is null").groupBy("doc_id").agg(F.min(F.struct("n", "k1", "k2")).alias("s")).select("doc_id", "s.*")
     common = seen.where("sig is not null").groupBy("sig").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "sig").limit(HEAVY).toPandas()
     common = common.assign(h=common["sig"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
@@ -253,7 +253,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     nodes = stored(narrow.join(nodes, key, "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "nodes")
 
     # Lists with at least two nodes.
-    rows = docs.mapInArrow(prefixes(heavy, x), "sig long, doc_id long")
+    rows = docs.mapInArrow(tidy(prefixes(heavy, x)), "sig long, doc_id long")
     every = Window.partitionBy("sig")
     met = rows.withColumns({"low": F.min("doc_id").over(every), "high": F.max("doc_id").over(every)}).where("low < high").select("sig", "doc_id")
     met = stored(met, "lists")
@@ -285,7 +285,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     far = stored(far, "far")
     # Lists of one passage have the same head, so their pairs meet in one task. Longer lists than LONG are joined.
     short = far.where(F.col("length") <= LONG).select("head", "sig", "node", "n", "c", "k", "m").repartition("head").sortWithinPartitions("head", "sig")
-    short = short.mapInArrow(paired(x), "a long, b long")
+    short = short.mapInArrow(tidy(paired(x)), "a long, b long")
     far_long = far.where(F.col("length") > LONG)
     q = far_long.select("sig", *(F.col(k).alias(f"{k}2") for k in ("node", "n", "c", "k", "m")))
     n1, n2 = F.col("n"), F.col("n2")

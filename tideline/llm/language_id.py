@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import slices, tidy
+
 #: Labelled rows and characters per language that training reads at most, and the longest row it takes.
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_LONGEST = 400, 40_000, 20_000
 ALPHABET = 48
 BLOCK = 2048
 SLICE = 2 << 20
-ROWS = 1024
 #: A text whose best language needs more bits per character than this is in none of them.
 MOST_BITS = 6.0
 
@@ -198,14 +199,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            some = [m.predict(batch.column(at).slice(k, ROWS).to_pylist()) for k in range(0, batch.num_rows, ROWS)]
-            best, score, bits = (np.concatenate(c) for c in zip(*some)) if some else m.predict([])
-            names = np.array([*m.languages, "und"], object)[best]
-            cols = [pa.array(names, pa.string()), pa.array(score), pa.array(bits)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *new])
+            for part in slices(batch, at, SLICE):
+                best, score, bits = m.predict(part.column(at).to_pylist())
+                names = np.array([*m.languages, "und"], object)[best]
+                cols = [pa.array(names, pa.string()), pa.array(score), pa.array(bits)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, *new])
 
     schema = StructType([*docs.schema.fields, StructField(new[0], StringType()), *(StructField(k, DoubleType()) for k in new[1:])])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def detect_languages(docs: DataFrame) -> DataFrame:

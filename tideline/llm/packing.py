@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import stored, tidy
 from .tokens import default_path, encoder
 
 LENGTH = 2048
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_i
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     schema = [StructField(n, t) for n, t in zip(names, [LongType(), IntegerType(), LongType(), LongType(), LongType(), BinaryType()])]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, StructType(schema))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), StructType(schema))
 
 
 def sweep(counts: dict[int, int], length: int = LENGTH) -> tuple[np.ndarray, int]:
@@ -143,7 +143,7 @@ def best_fit(parts: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = [*batch.columns[:-1], pa.array(p[at, 2] + r - p[at, 1]), pa.array(p[at, 3])]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    return ranked.mapInArrow(tidy(run), StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

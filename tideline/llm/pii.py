@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import LOWER, groups_of, text_bytes, word_bounds
+from .common import LOWER, slices, text_bytes, tidy, word_bounds
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: The last kind is the field's, the others are the patterns'.
@@ -314,21 +314,26 @@ def spans_of(data: np.ndarray, offs: np.ndarray, model) -> list[list[tuple[int,
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
 
 
-def _with_arrow(docs: DataFrame, fields: list[StructField], make) -> DataFrame:
-    docs = docs.drop(*[f.name for f in fields])
+SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _with_arrow(docs: DataFrame, make, field: StructField | None = None) -> DataFrame:
+    """docs with what make(texts, spans) gives: a new last column `field`, or else in place of the texts."""
+    docs = docs.drop(field.name) if field else docs
     at, model = docs.columns.index("text"), trained()
-    types = [pa.string() if f.dataType == StringType() else pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])) for f in fields]
 
     def run(batches):
         for batch in batches:
-            data, offs = text_bytes(batch.column(at))
-            found = []
-            for i, j in groups_of(np.diff(offs), BLOCK):
-                found += spans_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], model)
-            cols = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(make(batch.column(at), found), types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *(f.name for f in fields)])
+            for part in slices(batch, at, BLOCK):
+                texts = part.column(at)
+                new = make(texts, spans_of(*text_bytes(texts), model))
+                if field:
+                    cols, names = [*part.columns, new], [*part.schema.names, field.name]
+                else:
+                    cols, names = [*part.columns[:at], new, *part.columns[at + 1 :]], part.schema.names
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *([field] if field else [])]))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -338,7 +343,8 @@ def find(docs: DataFrame) -> DataFrame:
     all stay. A null or empty text has an empty array. Repeated rows get equal arrays; ids aren't read.
     A column `pii` that docs brings is replaced. An empty table stays empty.
     """
-    return _with_arrow(docs, [StructField("pii", SPANS)], lambda _, found: [[[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in f] for f in found]])
+    make = lambda _, found: pa.array([[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in f] for f in found], SPANS_ARROW)
+    return _with_arrow(docs, make, StructField("pii", SPANS))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -358,10 +364,9 @@ def redact(docs: DataFrame) -> DataFrame:
                         parts += [text[at:s], f"[{KINDS[kind].upper()}]"]
                     at = max(at, e)
                 out.append("".join([*parts, text[at:]]))
-        return [pc.replace_with_mask(column, pa.array([bool(f) for f in found], pa.bool_()), pa.array(out, column.type))]
+        return pc.replace_with_mask(column, pa.array([bool(f) for f in found], pa.bool_()), pa.array(out, column.type))
 
-    columns = docs.columns
-    return _with_arrow(docs, [StructField("text_redacted_", StringType())], make).select(*[F.col("text_redacted_").alias("text") if c == "text" else F.col(c) for c in columns])
+    return _with_arrow(docs, make)
 
 
 def digests(docs: DataFrame) -> DataFrame:

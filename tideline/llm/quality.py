@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, ByteType, DoubleType, StructField, StructType
 
-from .common import SPACE, WordHasher, groups_of, mix, stored, text_bytes, word_bounds
+from .common import SPACE, WordHasher, groups_of, mix, stored, text_bytes, tidy, word_bounds
 
 #: The scorer learns from about so many documents at most, none longer than so many bytes.
 TRAIN_ROWS, TRAIN_LONGEST = 4000, 60_000
@@ -185,7 +185,7 @@ def classify(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "votes"])
 
     cast = StructType([docs.schema["doc_id"], StructField("votes", ArrayType(ByteType()))])
-    seen = stored(docs.mapInArrow(vote, cast), "votes")
+    seen = stored(docs.mapInArrow(tidy(vote), cast), "votes")
     counted = seen.groupBy("votes").count().toPandas()
     patterns = np.array(counted["votes"].tolist(), np.int8).reshape(-1, len(LABELLERS))
     _, table, post = estimate(patterns, counted["count"].to_numpy())
@@ -220,4 +220,4 @@ def classify(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types)], keep], ["doc_id", "votes", "weak_label", "score", "keep"])
 
     fields = [StructField("weak_label", DoubleType()), StructField("score", DoubleType()), StructField("keep", BooleanType())]
-    return docs.mapInArrow(score, StructType([*cast.fields, *fields]))
+    return docs.mapInArrow(tidy(score), StructType([*cast.fields, *fields]))

@@ -20,7 +20,7 @@ import numpy as np
 from .common import LOWER, SPACE, WordHasher, groups_of, text_bytes
 
 #: Pieces and parts a process remembers; beyond that it forgets all and starts anew.
-MEMORY = 800_000
+MEMORY, PARTS = 800_000, 100_000
 BLOCK = 2 << 20
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -183,7 +183,7 @@ class Encoder:
         parts = text.split()
         new = list(set(parts).difference(self.parts))
         if new:
-            if len(self.parts) > MEMORY:
+            if len(self.parts) > PARTS:
                 self.parts.clear()
                 new = list(set(parts))
             found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
