@@ -22,11 +22,23 @@ def work_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: With this set, the shuffle files of a query go as soon as it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
+    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation.
+
+    Nothing reads the shuffle files of the write any more, so they are deleted when it ends; a later step finds the disk free.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(FREE)
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
