@@ -39,8 +39,6 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: A task takes lists of up to so many documents into memory; longer ones are joined.
 LONG = 50_000
-#: Up to so many document ids are sent to all executors to pick out texts; more are joined by a shuffle.
-FEW = 500_000
 #: Frequent shingles that are ordered last: at most so many, each seen at least so often in one block of documents.
 HEAVY, SEEN = 100_000, 3
 BLOCK = 2 << 20
@@ -213,9 +211,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of document ids that are similar, by their whole texts."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = stored(ids, "ids")
-    if ids.count() <= FEW:
-        ids = F.broadcast(ids)
+    # Ids grow with the input, so they aren't broadcast at any size; hashing them spares a sort of the texts.
+    ids = stored(ids, "ids").hint("shuffle_hash")
     sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(shingled), "doc_id long, shingles binary")
     sets = stored(sets, "sets")
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
