@@ -29,8 +29,6 @@ SHARE, CAP = 1.5, 2
 BLOCK = 4096
 #: Documents of a source that stay out of its last flight.
 LANDING = 12
-#: Up to so many decisions are sent to all executors; more are joined by a shuffle.
-FEW = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -174,11 +172,11 @@ def mix(docs: DataFrame) -> DataFrame:
     count = [F.count("*").alias("rows_"), *[F.sum((F.col("copies") == k).cast("long")).alias(f"n{k}_") for k in (2, 1)]]
     taken = stored(choose(docs).groupBy("doc_id", "source", "size").agg(*count).where("n1_ + n2_ > 0"), "taken")
     single = taken.where("rows_ > 1").isEmpty()
-    few = taken.count() <= FEW
     taken = taken.select(*[F.col(c).alias(f"{c}_t") for c in ("doc_id", "source", "size")], "n1_", "n2_")
     rows = docs.withColumn("size_", size_of(F.col("text"))).alias("d")
     on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("doc_id_t")) & F.col("d.source").eqNullSafe(F.col("source_t")) & (F.col("size_") == F.col("size_t"))
-    both = rows.join(F.broadcast(taken) if few else taken, on)
+    # Decisions grow with the input, so they aren't broadcast at any size; hashing them spares a sort of the texts.
+    both = rows.join(taken.hint("shuffle_hash"), on)
     if single:
         copies = 2 * F.col("n2_") + F.col("n1_")
     else:
