@@ -26,9 +26,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least id of each group of similar ones."""
     gone = stored(jaccard_join.jaccard_join(docs).where("doc_id <> component_id").select("doc_id"), "gone")
-    if gone.count() <= jaccard_join.FEW:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # Dropped copies grow with the input, so their ids aren't broadcast at any size; hashing them spares a sort of the texts.
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
