@@ -120,6 +120,21 @@ def test_cross_parsing_equals_a_plain_parse():
             assert abs(m.phrases([np.frombuffer(codes, np.uint8)])[0, k] - n) <= first
 
 
+def test_rare_languages_leave_the_others_whole(spark, docs):
+    """A language of one empty or short row costs the others nothing, and one of a few lines is learned as it is."""
+    more = [(10**7, "", "xx"), (10**7 + 1, "zu kurz", "yy"), (10**7 + 2, "kwa zulu ngiyabonga kakhulu umuntu ngumuntu ngabantu sawubona unjani namhlanje siyaphila thina", "zu")]
+    some = docs.select("doc_id", "text", "lang").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
+    alone = language_id.fit(some)
+    m = language_id.fit(some.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string")))
+    assert m.languages == sorted([*alone.languages, "zu"])
+    assert [b for k, b in zip(m.languages, m.bits) if k != "zu"] == list(alone.bits) and min(alone.bits) > 10
+    held = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).collect()
+    best, _, _ = m.predict([r["text"] for r in held])
+    assert np.mean([m.languages[k] == r["lang"] for k, r in zip(best, held)]) >= 0.95
+    best, _, bits = m.predict(["umuntu ngumuntu ngabantu", "\u0436\u0448\u0447\u044f" * 20])
+    assert m.languages[best[0]] == "zu" and bits[1] > language_id.MOST_BITS
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -29,6 +29,9 @@ BLOCK = 2048
 SLICE = 2 << 20
 #: A text whose best language needs more bits per character than this is in none of them.
 MOST_BITS = 6.0
+#: A language with fewer characters of labelled text (a run of non-letters is one) isn't learned: a phrase would cost
+#: no more than MOST_BITS, so that its model took every text.
+LEAST_CHARS = 65
 
 
 def classes(training: dict[str, str]) -> np.ndarray:
@@ -93,14 +96,15 @@ def automaton(codes: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Languages, their tables and the log2 of their training lengths."""
+    """Languages, their tables and the log2 of their training lengths. With `even`, texts are cut to the shortest; fit() leaves them whole."""
 
-    def __init__(self, training: dict[str, str]) -> None:
+    def __init__(self, training: dict[str, str], even: bool = True) -> None:
         self.languages = sorted(training)
         self.code = classes(training)
         codes = [encode(training[k], self.code) for k in self.languages]
-        least = min((len(c) for c in codes), default=0)
-        codes = [c[: max(least, 1)] for c in codes]  # equal lengths, so that no language gains by more text
+        if even:
+            least = min((len(c) for c in codes), default=0)
+            codes = [c[: max(least, 1)] for c in codes]
         tables = [automaton(c) for c in codes]
         self.base = np.cumsum([0, *map(len, tables)])[:-1]
         self.begin = [len(t) - ALPHABET for t in tables]
@@ -165,9 +169,14 @@ def bucket(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
+def _size(text: str) -> int:
+    """Characters of a text but that a run of non-letters is one, and none at the ends."""
+    return len(" ".join("".join(c if c.isalpha() else " " for c in text).split()))
+
+
 def fit(labelled: DataFrame) -> Model:
     """Learn from rows (doc_id, text, lang). Of each language about TRAIN_ROWS rows are read, those of least hash,
-    none longer than TRAIN_LONGEST characters, and TRAIN_CHARS characters in all."""
+    none longer than TRAIN_LONGEST characters, and TRAIN_CHARS characters in all. Languages of less than LEAST_CHARS are left out."""
     labelled = labelled.where("lang is not null and text is not null").where(F.length("text") <= TRAIN_LONGEST)
     count = labelled.groupBy("lang").count().limit(1000).collect()
     parts = []
@@ -180,7 +189,8 @@ def fit(labelled: DataFrame) -> Model:
     for p in parts[1:]:
         keep = keep | p
     rows = labelled.where(keep).select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id").toPandas().sort_values(["h", "doc_id", "text"])
-    return Model({k: "\n".join(g["text"])[:TRAIN_CHARS] for k, g in rows.groupby("lang")})
+    training = {k: "\n".join(g["text"])[:TRAIN_CHARS] for k, g in rows.groupby("lang")}
+    return Model({k: t for k, t in training.items() if _size(t) >= LEAST_CHARS}, even=False)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
