@@ -135,6 +135,16 @@ def test_rare_languages_leave_the_others_whole(spark, docs):
     assert m.languages[best[0]] == "zu" and bits[1] > language_id.MOST_BITS
 
 
+def test_short_documents_stay(spark, docs):
+    """Clean documents of few characters pass the pipeline's first stage; those of another script don't."""
+    clean = ["A.", "A.\nAll rights reserved.", "ok", "Ja", "x 1", "Ich will token = b64b244acde2e3b0aa8f051af1ec018ebaba3add"]
+    strange = ["\u0436.", "\u0436\u0448", "\u03b1\u03b2\u03b3 \u03b4\u03b5", "\u4f60\u597d " * 100]
+    rows = [(10**7 + k, t, None, "x", len(t)) for k, t in enumerate(clean + strange)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.languages(spark, docs.select(*corpus_pipeline.COLUMNS).unionByName(more), SF)
+    assert {r["text"] for r in out.where("doc_id >= 10000000").collect()} == set(clean)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -29,6 +29,8 @@ BLOCK = 2048
 SLICE = 2 << 20
 #: A text whose best language needs more bits per character than this is in none of them.
 MOST_BITS = 6.0
+#: Shorter texts have too few phrases for that: of these only characters count that a language's training text lacks.
+SHORT = 128
 #: A language with fewer characters of labelled text (a run of non-letters is one) isn't learned: a phrase would cost
 #: no more than MOST_BITS, so that its model took every text.
 LEAST_CHARS = 65
@@ -106,6 +108,10 @@ class Model:
             least = min((len(c) for c in codes), default=0)
             codes = [c[: max(least, 1)] for c in codes]
         tables = [automaton(c) for c in codes]
+        self.known = np.zeros((len(codes), int(self.code.max()) + 1), bool)
+        for k, c in enumerate(codes):
+            self.known[k, c] = True
+        self.known[:, 0] = True
         self.base = np.cumsum([0, *map(len, tables)])[:-1]
         self.begin = [len(t) - ALPHABET for t in tables]
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
@@ -135,7 +141,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best language (index, -1 for none), score and bits per character of each text."""
+        """Best language (index, -1 for none), score and bits per character of each text (see SHORT)."""
         best, score, least = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.languages:
             return best, score, least
@@ -149,6 +155,8 @@ class Model:
             low = bits.min(axis=1)
             # Weight of the best among all, by how many more bits the others need.
             score[own] = 1 / np.exp2(-np.minimum(bits - low[:, None], 1000) / 4).sum(axis=1)
+            for k in np.flatnonzero(n < SHORT).tolist():
+                low[k] = ((~self.known[:, coded[own[k]]]).sum(axis=1) * self.bits).min()
             least[own] = low / n
         return best, score, least
 
