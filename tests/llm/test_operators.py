@@ -145,6 +145,23 @@ def test_short_documents_stay(spark, docs):
     assert {r["text"] for r in out.where("doc_id >= 10000000").collect()} == set(clean)
 
 
+def test_no_letters_are_merged():
+    """With many letters in several scripts, languages that differ in rare letters only are told apart."""
+    rng = np.random.default_rng(2)
+    latin, cyrillic, cuneiform = "abcdefghijklmnopqrstuvwxyz", [chr(k) for k in range(0x430, 0x450)], [chr(k) for k in range(0x12000, 0x12040)]
+    word = lambda letters: "".join(rng.choice(list(letters), 3))
+    text = lambda words: " ".join(rng.choice(words, 2000))
+    common = [word(latin) for _ in range(60)]
+    words = {"common": common, "ru": [word(cyrillic[:16]) for _ in range(60)], "bg": [word(cyrillic[16:]) for _ in range(60)], "akk": [word(cuneiform[:32]) for _ in range(60)], "hit": [word(cuneiform[32:]) for _ in range(60)]}
+    m = language_id.Model({k: text(w) * (9 if k == "common" else 1) for k, w in words.items()}, even=False)
+    seen = {c for w in words.values() for c in "".join(w)}
+    assert len({int(language_id.encode(c, m.code)[0]) for c in seen}) == len(seen) > 100
+    for k, w in words.items():
+        codes = language_id.encode(text(w)[:800], m.code)
+        n = m.phrases([codes])[0]
+        assert m.languages[int(np.argmin(n * m.bits))] == k and (np.delete(n, m.languages.index(k)) > 2 * n[m.languages.index(k)]).all()
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -5,9 +5,9 @@ to right into the longest phrases that occur in that text, one automaton step pe
 the language that needs the fewest phrases, normalised by log2 of its training length and the
 text's own length (bits per character), wins.
 
-The automaton is stored as a complete transition table: where it has no edge, the table holds
-the state after a new phrase begins with that character, so a step is one lookup and phrases
-are counted from a flag in the entry. Texts are parsed in blocks of BLOCK characters, thousands
+The automaton's edges are stored in a hash table, so its size follows the training text and not the
+number of letters, of which none are merged; where a state has no edge, a new phrase begins with
+that character. Texts are parsed in blocks of BLOCK characters, thousands
 of blocks of all lengths at a time; a phrase never crosses a block's end, so memory is bounded for
 texts of any length and results don't depend on batches.
 """
@@ -24,7 +24,6 @@ from .common import slices, tidy
 
 #: Labelled rows and characters per language that training reads at most, and the longest row it takes.
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_LONGEST = 400, 40_000, 20_000
-ALPHABET = 48
 BLOCK = 2048
 SLICE = 2 << 20
 #: A text whose best language needs more bits per character than this is in none of them.
@@ -37,15 +36,15 @@ LEAST_CHARS = 65
 
 
 def classes(training: dict[str, str]) -> np.ndarray:
-    """Code of each code point of the basic plane: 0 for what isn't a letter, 1 for letters not in the training text."""
+    """Code of each code point: 0 for what isn't a letter, 1 for letters not in the training text, own ones for all others."""
     from collections import Counter
 
     count: Counter = Counter()
     for text in training.values():
-        count.update(c for c in text.lower() if c.isalpha() and ord(c) < 65536)
-    code = np.zeros(65536, np.uint8)
-    code[[k for k in range(65536) if chr(k).isalpha()]] = 1
-    for k, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]):
+        count.update(c for c in text.lower() if c.isalpha())
+    code = np.zeros(0x110000, np.min_scalar_type(len(count) + 1))
+    code[[k for k in range(0x110000) if chr(k).isalpha()]] = 1
+    for k, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))):
         code[ord(c)] = k + 2
     return code
 
@@ -53,14 +52,59 @@ def classes(training: dict[str, str]) -> np.ndarray:
 def encode(text: str, code: np.ndarray) -> np.ndarray:
     """Codes of a text's lower-cased characters; a run of non-letters is one 0."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = code[np.minimum(points, 65535)]
+    out = code[points]
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
     return out[keep]
 
 
-def automaton(codes: np.ndarray) -> np.ndarray:
-    """Transition table of the suffix automaton: entry [state * ALPHABET + c] is 2 * next state * ALPHABET + new phrase."""
+class Edges:
+    """A hash table of a suffix automaton's edges: key state * width + c, value the next state.
+
+    `fresh` has the state after a new phrase begins with c: that of the first character, or `begin`, which has
+    no edges, where the training text lacks c; texts start there too.
+    """
+
+    def __init__(self, edges: list[dict[int, int]], width: int) -> None:
+        self.width, self.begin = width, len(edges)
+        self.fresh = np.full(width, self.begin, np.int32)
+        for c, q in edges[0].items():
+            self.fresh[c] = q
+        key = np.array([p * width + c for p, known in enumerate(edges) for c in known], np.int64)
+        to = np.array([q for known in edges for q in known.values()], np.int32)
+        power = max(4, (2 * len(key)).bit_length())
+        self.mask, self.shift = (1 << power) - 1, np.uint64(64 - power)
+        self.key, self.to = np.full(1 << power, -1, np.int64), np.zeros(1 << power, np.int32)
+        slot = self.slot(key)
+        while len(key):
+            empty = self.key[slot] < 0
+            self.key[slot[empty]] = key[empty]  # of several for one slot the last stays
+            self.to[slot[empty]] = to[empty]
+            left = self.key[slot] != key
+            key, to, slot = key[left], to[left], (slot[left] + 1) & self.mask
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and where a new phrase begins."""
+        want = state * self.width + c
+        at = self.slot(want)
+        have = self.key[at]
+        out, new = self.to[at], have != want
+        open_ = np.flatnonzero(new & (have >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            have = self.key[at[open_]]
+            hit = have == want[open_]
+            done = open_[hit]
+            out[done], new[done] = self.to[at[done]], False
+            open_ = open_[~hit & (have >= 0)]
+        return np.where(new, self.fresh[c], out), new
+
+
+def automaton(codes: np.ndarray, width: int) -> Edges:
+    """The suffix automaton of a text with codes below width."""
     edges, link, length = [{}], [-1], [0]
     last = 0
     for c in codes.tolist():
@@ -86,19 +130,11 @@ def automaton(codes: np.ndarray) -> np.ndarray:
                     edges[p][c] = clone
                     p = link[p]
         last = cur
-    # One more state, the last: before a text's first character, and behind one that the training text lacks.
-    fresh = np.full(ALPHABET, len(edges))
-    for c, q in edges[0].items():
-        fresh[c] = q
-    table = np.tile(fresh * ALPHABET * 2 + 1, (len(edges) + 1, 1))
-    for p, known in enumerate(edges):
-        for c, q in known.items():
-            table[p, c] = q * ALPHABET * 2
-    return table.reshape(-1).astype(np.int32)
+    return Edges(edges, width)
 
 
 class Model:
-    """Languages, their tables and the log2 of their training lengths. With `even`, texts are cut to the shortest; fit() leaves them whole."""
+    """Languages, their automata and the log2 of their training lengths. With `even`, texts are cut to the shortest; fit() leaves them whole."""
 
     def __init__(self, training: dict[str, str], even: bool = True) -> None:
         self.languages = sorted(training)
@@ -107,14 +143,12 @@ class Model:
         if even:
             least = min((len(c) for c in codes), default=0)
             codes = [c[: max(least, 1)] for c in codes]
-        tables = [automaton(c) for c in codes]
-        self.known = np.zeros((len(codes), int(self.code.max()) + 1), bool)
+        width = int(self.code.max()) + 1
+        self.tables = [automaton(c, width) for c in codes]
+        self.known = np.zeros((len(codes), width), bool)
         for k, c in enumerate(codes):
             self.known[k, c] = True
         self.known[:, 0] = True
-        self.base = np.cumsum([0, *map(len, tables)])[:-1]
-        self.begin = [len(t) - ALPHABET for t in tables]
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.bits = np.array([np.log2(max(2, len(c))) for c in codes])
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
@@ -130,13 +164,11 @@ class Model:
         flat = np.concatenate(coded).astype(np.int64) if len(coded) else np.zeros(0, np.int64)
         still = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
         out = np.zeros((len(coded), len(self.languages)))
-        for k, base in enumerate(self.base.tolist()):
-            table = self.table[base:]
-            state, count = np.full(len(size), self.begin[k]), np.zeros(len(size), np.int64)
+        for k, table in enumerate(self.tables):
+            state, count = np.full(len(size), table.begin, np.int64), np.zeros(len(size), np.int64)
             for t, n in enumerate(still.tolist()):
-                step = table[state[:n] + flat[begin[:n] + t]]
-                count[:n] += step & 1
-                state[:n] = step >> 1
+                state[:n], new = table.step(state[:n], flat[begin[:n] + t])
+                count[:n] += new
             np.add.at(out[:, k], owner, count)
         return out
 
