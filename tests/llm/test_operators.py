@@ -376,6 +376,32 @@ def test_near_duplicates(spark):
     assert [got[k]["component_id"] for k in range(len(x))] == label.tolist() and all(r["kept"] == (k == r["component_id"]) for k, r in got.items())
 
 
+@pytest.mark.parametrize("blind", [0, 48])
+def test_every_beam_is_audited(blind):
+    """A search that finds no links but a query itself, at all beams or at one only, loses none: neither sparse links nor those of dense groups."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((2500, 24))
+    x = np.concatenate([base, base[:9] + 0.05 * rng.standard_normal((9, 24)), base[20] + 0.05 * rng.standard_normal((40, 24)), base[21:321] + 0.05 * rng.standard_normal((300, 24))])
+    x = x if blind else np.roll(x[:2509], 20, axis=0)
+    nx = np.sqrt((x * x).sum(axis=1))
+    want = set(zip(*(a.tolist() for a in hnsw_dedup.exact(x, nx, x, nx, 0.9))))
+    unit = (x / nx[:, None]).astype(np.float32)
+
+    class Lossy:
+        n = len(x)
+
+        def search(self, q, beam):
+            s = q @ unit.T
+            ids = np.argsort(-s, axis=1)[:, :beam]
+            sims = np.take_along_axis(s, ids, axis=1)
+            if beam >= 48 if blind else True:
+                sims[:, 1:] = np.where(sims[:, 1:] >= 0.9, 0, sims[:, 1:])
+            return ids, sims
+
+    i, j = hnsw_dedup.links_of(Lossy(), x, nx, x, nx, 0.9, np.arange(len(x)))
+    assert len(want) >= len(x) + (1500 if blind else 18) and set(zip(i.tolist(), j.tolist())) == want
+
+
 def test_near_duplicates_of_odd_vectors(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in hnsw_dedup.near_duplicates(odd_vectors(spark)).collect()}
     assert got == {k: (0, k, True) for k in (2, 3, 4, 5, 6, 7, 8, 100, 150)} | {0: (2, 0, True), 1: (2, 0, False), 50: (2, 0, False)}

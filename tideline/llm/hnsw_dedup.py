@@ -4,7 +4,8 @@ Equal vectors are one node. Nodes are sharded by hash; each shard builds a hiera
 small-world graph, in batches: a batch's nodes search the graph of those before them, choose diverse
 neighbours among what they find and each other, and are linked both ways. Every node then queries
 every shard, a batch of queries moving in lockstep. A query whose beam is full of links gets a wider
-one. In each task a sample of queries is audited against all of the shard; while less than AUDIT of their links are found, all beams double. Beyond
+one. Every beam width is audited in each task: of the queries that it would answer, random ones are scanned against all of the shard until AUDIT_LINKS
+links are seen, or else all of them; if less than AUDIT of those links were found, all these queries get a wider beam too. Scanned queries keep the exact links. Beyond
 WIDEST the rest is done exactly, by a scan of the shard. Links are verified by cosine in double
 precision; each task sends on a spanning forest of its links, whose union gives the components.
 """
@@ -22,7 +23,7 @@ from .vectors import matrix, norms, safe, usable
 
 SIMILAR = 0.9
 DEGREE, BUILD_BEAM, BATCH = 12, 32, 512
-BEAM, WIDEST, AUDIT, SAMPLE = 24, 192, 0.995, 64
+BEAM, WIDEST, AUDIT, AUDIT_LINKS, SAMPLE = 24, 192, 0.995, 1000, 64
 #: Nodes of a shard and queries of a block; so many shards at least, if a shard then has LEAST nodes.
 SHARD, BLOCK, SHARDS, LEAST = 131_072, 131_072, 6, 512
 LAYER = 16
@@ -178,14 +179,29 @@ def exact(x: np.ndarray, nx: np.ndarray, q: np.ndarray, nq: np.ndarray, similar:
     return np.concatenate([i for i, _ in out]) if out else np.zeros(0, int), np.concatenate([j for _, j in out]) if out else np.zeros(0, int)
 
 
-def links_of(graph: Graph, x: np.ndarray, nx: np.ndarray, q: np.ndarray, nq: np.ndarray, similar: float):
-    """(query, node) of verified links of every query with the shard."""
+def audit(x: np.ndarray, nx: np.ndarray, q: np.ndarray, nq: np.ndarray, similar: float, own: np.ndarray, asked: np.ndarray, known: np.ndarray):
+    """Whether `known` (query * nodes + node) has enough links of the queries `asked`; the queries scanned, and all their links."""
+    need = got = at = 0
+    size, truth = SAMPLE, []
+    while at < len(asked) and need < AUDIT_LINKS:
+        part = asked[at : at + size]
+        i, j = exact(x, nx, q[part], nq[part], similar)
+        i = part[i]
+        truth.append((i, j))
+        pairs = (i.astype(np.int64) * len(x) + j)[own[i] != j]
+        need += len(pairs)
+        got += int(np.isin(pairs, known).sum())
+        at, size = at + len(part), size * 2
+    return got >= AUDIT * need, asked[:at], truth
+
+
+def links_of(graph: Graph, x: np.ndarray, nx: np.ndarray, q: np.ndarray, nq: np.ndarray, similar: float, own: np.ndarray | None = None):
+    """(query, node) of verified links of every query with the shard. `own` has each query's own node or -1: finding it is no merit."""
     qf = (q / nq[:, None]).astype(np.float32)
-    sample = np.unique(np.linspace(0, len(q) - 1, min(SAMPLE, len(q))).astype(int))
-    truth = set(zip(*(a.tolist() for a in exact(x, nx, q[sample], nq[sample], similar))))
+    own = np.full(len(q), -1) if own is None else own
+    rng = np.random.default_rng(len(q))
     beam, wanted = BEAM, np.arange(len(q))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    audited = False
     while len(wanted) and beam <= WIDEST:
         full = np.zeros(len(wanted), bool)
         hits = []
@@ -197,17 +213,11 @@ def links_of(graph: Graph, x: np.ndarray, nx: np.ndarray, q: np.ndarray, nq: np.
             i, j = np.nonzero(hit & ~full[k : k + BATCH, None])
             hits.append((part[i], ids[i, j]))
         i, j = (np.concatenate(c) for c in zip(*hits))
-        if not audited:
-            narrow = np.isin(sample, wanted[~full])
-            own = {int(s): k for k, s in enumerate(sample)}
-            need = {p for p in truth if narrow[p[0]]}
-            got = need & {(own[int(a)], int(b)) for a, b in zip(i, j) if int(a) in own}
-            if len(got) < AUDIT * len(need):
-                beam *= 2
-                continue
-            audited = True
-        found.append((i, j))
-        wanted = wanted[full]
+        good, scanned, truth = audit(x, nx, q, nq, similar, own, rng.permutation(wanted[~full]), i.astype(np.int64) * len(x) + j)
+        found += truth
+        if good:
+            found.append((i, j))
+        wanted = wanted[full] if good else wanted[~np.isin(wanted, scanned)]
         beam *= 2
     if len(wanted):
         i, j = exact(x, nx, q[wanted], nq[wanted], similar)
@@ -285,7 +295,9 @@ def near_duplicates(table: DataFrame, similar: float = SIMILAR, shards: int | No
             graph.tops = [max(1, min(len(x), 64)), *map(len, graph.links)]
             v = safe(matrix(q.column("embedding"), dim))
             own = q.column("node").to_numpy()
-            i, j = links_of(graph, x, nx, v, norms(v), similar)
+            order = np.argsort(ids)
+            at = order[np.minimum(np.searchsorted(ids, own, sorter=order), len(ids) - 1)]
+            i, j = links_of(graph, x, nx, v, norms(v), similar, np.where(ids[at] == own, at, -1))
             other = own[i] != ids[j]
             i, j = i[other], j[other]
             total = np.bincount(i, weights[j], len(own)).astype(np.int64)
