@@ -162,6 +162,14 @@ def test_no_letters_are_merged():
         assert m.languages[int(np.argmin(n * m.bits))] == k and (np.delete(n, m.languages.index(k)) > 2 * n[m.languages.index(k)]).all()
 
 
+def test_no_language_is_lost(spark):
+    """More than 1,000 languages, and one that has only long texts."""
+    letters = lambda k: "".join(chr(97 + int(c)) for c in f"{k:04d}")
+    rows = [(k, " ".join([letters(k)] * 20), f"l{k}") for k in range(1100)] + [(5000 + k, "lorem ipsum dolor sit amet " * 1000, "la") for k in range(3)]
+    m = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(m.languages) == {r[2] for r in rows}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import slices, tidy
 
-#: Labelled rows and characters per language that training reads at most, and the longest row it takes.
+#: Labelled rows and characters per language that training reads at most, and characters of one row.
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_LONGEST = 400, 40_000, 20_000
 BLOCK = 2048
 SLICE = 2 << 20
@@ -215,20 +216,15 @@ def _size(text: str) -> int:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Learn from rows (doc_id, text, lang). Of each language about TRAIN_ROWS rows are read, those of least hash,
-    none longer than TRAIN_LONGEST characters, and TRAIN_CHARS characters in all. Languages of less than LEAST_CHARS are left out."""
-    labelled = labelled.where("lang is not null and text is not null").where(F.length("text") <= TRAIN_LONGEST)
-    count = labelled.groupBy("lang").count().limit(1000).collect()
-    parts = []
-    for r in count:
-        part = F.col("lang").eqNullSafe(F.lit(r["lang"]))
-        parts.append(part & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1 + 1_000_003 * min(1.0, TRAIN_ROWS / r["count"]))))
-    if not parts:
-        return Model({})
-    keep = parts[0]
-    for p in parts[1:]:
-        keep = keep | p
-    rows = labelled.where(keep).select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id").toPandas().sort_values(["h", "doc_id", "text"])
+    """Learn from rows (doc_id, text, lang). Of each language about TRAIN_ROWS rows are read, those of least hash, of each the first
+    TRAIN_LONGEST characters, and TRAIN_CHARS characters in all. Only languages of less than LEAST_CHARS are left out."""
+    labelled = labelled.where("lang is not null and text is not null").select("lang", "doc_id", F.substring("text", 1, TRAIN_LONGEST).alias("text"))
+    labelled = labelled.withColumn("h", F.xxhash64("doc_id"))
+    count = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    keep = F.pmod("h", F.lit(1_000_003)) < (1 + 1_000_003 * F.least(F.lit(1.0), F.lit(TRAIN_ROWS) / F.col("n"))).cast("int")
+    before = Window.partitionBy("lang").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = labelled.join(F.broadcast(count), "lang").where(keep).withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+    rows = rows.where(F.col("before") < TRAIN_CHARS).select("lang", "text", "h", "doc_id").toPandas().sort_values(["h", "doc_id", "text"])
     training = {k: "\n".join(g["text"])[:TRAIN_CHARS] for k, g in rows.groupby("lang")}
     return Model({k: t for k, t in training.items() if _size(t) >= LEAST_CHARS}, even=False)
 
