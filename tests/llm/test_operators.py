@@ -86,6 +86,67 @@ def test_jaccard_join_of_odd_rows(odd, empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+def test_jaccard_join_of_one_list_in_many_tiles(spark):
+    """Lists far longer than a block: no pair is lost, and none is tried in a task that holds the whole list."""
+    rng, base = np.random.default_rng(4), [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for at in rng.choice(40, int(rng.integers(0, 5)), replace=False):
+            w[at] = f"x{rng.integers(30)}"
+        rows.append((k, " ".join(w) + (f" y{k}" if k % 3 else "")))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(table, tile=7).collect()}
+    assert got == brute_jaccard(rows)
+
+
+def test_tiles_hold_every_pair_once(spark):
+    lists = {1: 30, -5: 9, 7: 2}
+    rows = [(s, 100 * n + k, 10, k, 1, 3, size) for n, (s, size) in enumerate(lists.items()) for k in range(size)]
+    out = jaccard_join.tiles(spark.createDataFrame(rows, "sig long, node long, n long, c long, k long, m long, length long"), 4).toPandas()
+    pairs = Counter()
+    for (s, _), g in out.groupby(["sig", "tile"]):
+        assert len(g) <= 20
+        r = list(g[["side", "node"]].itertuples(index=False))
+        pairs.update((s, *sorted((a.node, b.node))) for i, a in enumerate(r) for b in r[i + 1 :] if a.side < 0 or a.side != b.side)
+    assert set(pairs.values()) == {1} and len(pairs) == sum(n * (n - 1) // 2 for n in lists.values())
+
+
+def test_jaccard_join_of_an_id_with_two_texts(spark):
+    """The texts of one id that aren't its document's link nothing."""
+    a, b, other = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 30), ("b", 40), ("c", 25)))
+    rows = [(1, a), (2, b), (3, a), (3, b), (3, b), (4, other), (5, other + " d"), (5, other + " d")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (26, 1), 2: (36, 2), 3: (26, 1), 4: (21, 4), 5: (22, 4)}
+
+
+def twins(n):
+    """Two words of n letters whose sums of powers of any odd base agree modulo 2**64, if n is a large power of two."""
+    return ["".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n)) for flip in (0, 1)]
+
+
+def test_no_words_share_a_hash(spark):
+    import pyarrow as pa
+
+    texts = [w for n in (1024, 2048, 4096) for w in twins(n)]
+    for got, want in zip(tokens.Encoder(tokens.default_path()).encode(pa.array([" ".join(texts), *texts])), library_ids([" ".join(texts), *texts])):
+        assert got.tolist() == want
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10, "p q r s " + texts[0]), (11, "p q r s " + texts[1]), (12, "p q r s " + texts[0])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_jaccard(rows) and got[12] == (1, 10)
+
+
+def test_rows_are_numbered_alike_in_every_scan(spark, docs, tmp_path):
+    docs.repartition(5).write.parquet(f"{tmp_path}/d")
+    table = spark.read.parquet(f"{tmp_path}/d").withColumn("ROW_", F.lit(1))
+    for df in (table, table.unionByName(table), table.select("doc_id").where("doc_id % 2 = 0"), table.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2))))):
+        out, name = common.numbered(df)
+        rows = out.select(name, "doc_id").collect()
+        assert len({r[0] for r in rows}) == len(rows) == df.count() and out.columns == [*df.columns, name]
+        if df is table:
+            assert {tuple(r) for r in rows} == {tuple(r) for r in out.where("doc_id >= 0").repartition(3).select(name, "doc_id").collect()}
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (200, 200), (None, 3)] + [(300, k) for k in range(301, 340)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -293,6 +354,26 @@ def test_sweep_is_best_fit():
     assert packing.sweep(counts, 64)[1] == len(gaps)
 
 
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 300):
+        sizes = {f"s{rng.integers(10**9)}é"[: rng.integers(2, 9)]: int(rng.integers(0, 2000) ** rng.integers(1, 3)) for _ in range(n)} | {None: 5}
+        out = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()
+        want = brute_targets(sizes)
+        assert len(out) == len(sizes) and all(r["target"] == pytest.approx(want[r["source"]]) for r in out)
+    assert all(r["target"] == 0 for r in mixing.targets(spark.createDataFrame([("a", 0), ("b", 0)], "source string, source_size long")).collect())
+
+
+def test_mix_of_rows_that_repeat(spark):
+    """Rows that agree in id, source and size are taken as often as they are chosen, whatever other columns are called."""
+    rows = [(k % 5 if k % 7 else None, f"w{k % 3} " * (1 + k % 4), "ab"[k % 2], k, k, k) for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, row_ long, copies_ long, size_ long")
+    out = mixing.mix(table)
+    assert out.columns == table.columns and out.count() == mixing.choose(table).agg(F.sum("copies")).first()[0]
+    again = mixing.mix(table)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect())) and out.groupBy("row_").count().agg(F.max("count")).first()[0] <= 2
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight, cap = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, {s: 2 * sizes[s] for s in names}
@@ -444,6 +525,18 @@ def test_chat_escapes_come_back(spark):
     assert chat_format.digests(rows.limit(0)).count() == 0
 
 
+def test_near_duplicates_keep_one_row_of_each_group(spark, empty):
+    text, near, other = " ".join(f"a{k}" for k in range(50)), " ".join(f"a{k}" for k in range(51)), " ".join(f"b{k}" for k in range(50))
+    rows = [(3, text), (3, text), (None, text), (None, text), (2, near), (None, other), (7, None), (7, None), (8, ""), (5, "x y"), (3, "only here"), (5, "x  Y")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("group_", F.lit(1))
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == corpus_pipeline.COLUMNS
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    pair = [k for k in got if k[0] == 5]
+    assert got == Counter([(2, near), (None, other), (7, None), (7, None), (8, ""), (3, "only here"), *pair]) and len(pair) == 1
+    assert corpus_pipeline.near_duplicates(spark, empty, SF).count() == 0
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "12 34", "en", "x", 5)], "doc_id long, text string, lang string, source string, n_chars long"))
     for name, stage in corpus_pipeline.STAGES:

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- stored tables
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a default is set only where the session names none."""
+    """The folder that all executors share. Where the session names none, a machine's own folder serves executors of that machine
+    only, so it is taken (and set) for a local master alone; a cluster has to set spark.checkpoint.dir."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -52,8 +57,42 @@ def drop_stored(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: A task of a hash join holds about so many rows of the smaller side at most; beyond that rows are sorted and merged, which can spill.
+HASHED = 4_000_000
+
+
+def hashed(df: DataFrame) -> DataFrame:
+    """A stored, narrow table as the smaller side of a join with texts: hashed where a task's share of it is sure to fit, so that the
+    texts needn't be sorted. Both ways give the same rows."""
+    spark = df.sparkSession
+    return df.hint("shuffle_hash") if df.count() <= HASHED * int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """`name`, longer by underscores if a table has such a column, in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a long that tells its rows apart, the same in every scan (a row's file and its place in it), and that column's name.
+
+    What isn't read straight from files is written first. The files' numbers are one row a file, which
+    the driver's list of files holds already, so that table is broadcast.
+    """
+    name, file, place, number = (free_name(n, df) for n in ("row_", "file_", "place_", "number_"))
+    where = [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)]
+    # Only below these do rows keep the place they have in their file.
+    plain = {"Project", "Filter", "Relation", "SubqueryAlias", "View"}
+    plan = df._jdf.queryExecution().analyzed().toString()
+    at = df if set(re.findall(r"^[ :+-]*(\w+)", plan, re.M)) <= plain else stored(df, "rows")
+    at = at.select("*", *where)
+    files = sorted(r[0] for r in at.select(file).distinct().collect())
+    files = df.sparkSession.createDataFrame([(f, k) for k, f in enumerate(files)], f"`{file}` string, `{number}` long")
+    row = (F.shiftleft(number, 36) + F.col(place)).alias(name)
+    return at.join(F.broadcast(files), file).select(*[F.col(f"`{c}`") for c in df.columns], row), name
 
 
 # ---------------------------------------------------------------- memory of Python workers
@@ -90,16 +129,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-BASE = 0x9E3779B97F4A7C15 | 1
 PIECE = 1 << 19
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & (2**64 - 1), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit (the finaliser of splitmix64)."""
     h = h ^ (h >> np.uint64(30))
@@ -140,16 +172,26 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offs)
 
 
+#: Bytes of a word whose values are looked up; those further on are worked out.
+NEAR = 64
+
+
+def _value(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A 64-bit value for a byte at a place of its word, as if drawn at random."""
+    at = place.astype(np.uint64) << np.uint64(8) | byte.astype(np.uint64)
+    return mix(mix(at + np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD1B54A32D192ED03))
+
+
 class WordHasher:
-    """64-bit hashes of words, lower-cased in A-Z, for whole batches; a long text is worked off in pieces."""
+    """64-bit hashes of words, lower-cased in A-Z, for whole batches; a long text is worked off in pieces.
 
-    def __init__(self) -> None:
-        self.pow = self.inv = np.zeros(0, np.uint64)
+    A word's hash is the sum of the values of its bytes at their places. Two words that differ at some place differ by
+    values that have nothing to do with each other, so no family of words collides, as with powers of one base.
+    """
 
-    def room(self, n: int) -> None:
-        if n > len(self.pow):
-            n = max(n, PIECE + 4096)
-            self.pow, self.inv = powers(BASE, n), powers(pow(BASE, -1, 2**64), n)
+    def __init__(self) -> None:
+        byte = np.arange(256, dtype=np.int64)
+        self.table = _value(np.repeat(np.arange(NEAR), 256), LOWER[np.tile(byte, NEAR)])
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = np.empty(len(starts), np.uint64)
@@ -157,12 +199,17 @@ class WordHasher:
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE)))
             a, b = int(starts[i]), int(ends[j - 1])
-            self.room(b - a + 1)
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((LOWER[data[a:b]].astype(np.uint64) + np.uint64(1)) * self.pow[: b - a], out=sums[1:])
             s, e = starts[i:j] - a, ends[i:j] - a
-            h = (sums[e] - sums[s]) * self.inv[s]
-            out[i:j] = mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            place = np.zeros(b - a, np.int64)
+            place[s] = s
+            place = np.arange(b - a) - np.maximum.accumulate(place)
+            far = np.flatnonzero(place >= NEAR)
+            value = self.table[np.minimum(place, NEAR - 1) << 8 | data[a:b]]
+            if len(far):
+                value[far] = _value(place[far], LOWER[data[a:b][far]])
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(value, out=sums[1:])
+            out[i:j] = mix(sums[e] - sums[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             i = j
         return out
 

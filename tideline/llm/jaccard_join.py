@@ -19,6 +19,9 @@ ends first in the total order has all common elements up to there in both, so a
 most the number of lists it shares plus what one set has beyond its prefix. A pair therefore needs some
 number of common lists, and is looked for only in as many of each side's lists, rarest first, as
 must hold one of them; long lists of texts that share a passage drop out here.
+
+Lists of any length are worked off in one way: a list is cut into blocks of about TILE sets by hash, and each pair
+of its blocks is a unit of work of its own, so a task's memory is bounded and a hot list is many tasks.
 """
 
 from __future__ import annotations
@@ -31,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHasher, drop_stored, groups_of, mix, stored, text_bytes, tidy, word_bounds
+from .common import WordHasher, drop_stored, groups_of, hashed, mix, stored, text_bytes, tidy, word_bounds
 from .components import components
 
 WORDS = 5
 #: Similarity 75 / 100, as integers.
 NUM, DEN = 75, 100
-#: A task takes lists of up to so many documents into memory; longer ones are joined.
-LONG = 50_000
+#: Sets of a list's block.
+TILE = 2048
 #: Frequent shingles that are ordered last: at most so many, each seen at least so often in one block of documents.
 HEAVY, SEEN = 100_000, 3
 BLOCK = 2 << 20
@@ -72,17 +75,20 @@ def sets_of(batches, hasher: WordHasher):
             yield ids[i:j], list(shingle_hashes(hasher(part, starts, ends), first))
 
 
+def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set: equal ones mean equal sets."""
+    k1 = np.array([int(np.bitwise_xor.reduce(mix(s + np.uint64(11)))) if len(s) else 0 for s in sets], np.uint64)
+    k2 = np.array([int(np.add.reduce(mix(s * np.uint64(3) + np.uint64(5)))) & (2**64 - 1) if len(s) else 0 for s in sets], np.uint64)
+    return k1.view(np.int64), k2.view(np.int64)
+
+
 def describe(batches):
     """A row for each document (doc_id, n, k1, k2: 128 bits of its set) and one for each frequent shingle of a block."""
     hasher = WordHasher()
     for ids, sets in sets_of(batches, hasher):
         n = np.array([len(s) for s in sets], np.int64)
-        k1 = np.array([int(np.bitwise_xor.reduce(mix(s + np.uint64(11)))) if len(s) else 0 for s in sets], np.uint64)
-        k2 = np.array([int(np.add.reduce(mix(s * np.uint64(3) + np.uint64(5)))) & (2**64 - 1) if len(s) else 0 for s in sets], np.uint64)
-        yield pa.record_batch(
-            [pa.array(ids, pa.int64()), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(len(ids), pa.int64())],
-            ["doc_id", "n", "k1", "k2", "sig"],
-        )
+        k1, k2 = keys_of(sets)
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n), pa.array(k1), pa.array(k2), pa.nulls(len(ids), pa.int64())], ["doc_id", "n", "k1", "k2", "sig"])
         if n.sum():
             u, c = np.unique(np.concatenate(sets), return_counts=True)
             u, c = u[c >= SEEN].view(np.int64), c[c >= SEEN]
@@ -115,24 +121,23 @@ def boundary(sizes: dict[int, int], spread: float) -> int:
 
 
 def prefixes(heavy, x: int):
-    """Rows (sig, doc_id) of every set: its pairs up to size x, its single elements from 0.75 * x on."""
+    """Rows (sig, k1) of every set: its pairs up to size x, its single elements from 0.75 * x on."""
 
     def run(batches):
         common, rank = heavy.value
         hasher = WordHasher()
         known: set[tuple[int, int]] = set()
-        for ids, sets in sets_of(batches, hasher):
-            sigs, docs = [], []
-            for doc, s in zip(ids.tolist(), sets):
+        for _, sets in sets_of(batches, hasher):
+            sigs, own = [], []
+            for s, k1, k2 in zip(sets, *(k.tolist() for k in keys_of(sets))):
                 n = len(s)
                 if n < 3:  # such a set has no partner but its equals
                     continue
-                key = (int(np.bitwise_xor.reduce(mix(s + np.uint64(11)))), n)
-                if key in known:  # an equal set of this task has written the same rows
+                if (k1, k2) in known:  # an equal set of this task has written the same rows
                     continue
                 if len(known) > 500_000:
                     known.clear()
-                known.add(key)
+                known.add((k1, k2))
                 p = n - needed(n) + 2
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -142,57 +147,87 @@ def prefixes(heavy, x: int):
                 if n <= x:
                     i, j = np.triu_indices(p, 1)
                     sigs.append(mix(s[i] * np.uint64(0xD1342543DE82EF95) + s[j] * np.uint64(0xAF251AF3B0F025B5)) | SUBSET)
-                    docs.append(np.full(len(i), doc))
+                    own.append(np.full(len(i), k1))
                 if n > x or NUM * x < DEN * n:
                     sigs.append(s[: p - 1] & ~SUBSET)
-                    docs.append(np.full(p - 1, doc))
+                    own.append(np.full(p - 1, k1))
             if sigs:
-                yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(docs).astype(np.int64))], ["sig", "doc_id"])
+                yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(own).astype(np.int64))], ["sig", "k1"])
 
     return run
 
 
 def paired(x: int):
-    """Pairs (a, b) of the lists in rows (head, sig, node, n, c: component, k: rank of this list among the node's, m: how
-    many it has), sorted by head and list, that may be links: each pair about once for each head."""
+    """Pairs (a, b) of the tiles in rows (sig, tile, side, node, n, c: component, k: rank of this list among the node's, m: how
+    many it has), sorted by list and tile, that may be links. Side -1: a block with itself; else only nodes of both sides pair."""
 
     def run(batches):
-        rest = np.zeros((7, 0), np.int64)
+        rest = np.zeros((8, 0), np.int64)
         for batch in batches:
-            rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
-            last = np.flatnonzero(rows[1] != rows[1, -1]) if rows.shape[1] else rows[1]
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last list may go on in the next batch
+            rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+            last = np.flatnonzero((rows[:2] != rows[:2, -1:]).any(axis=0)) if rows.shape[1] else rows[1]
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last tile may go on in the next batch
             rest = rows[:, cut:]
             yield from pairs_of(rows[:, :cut])
         yield from pairs_of(rest)
 
     def pairs_of(rows: np.ndarray):
-        _, sig, node, n, c, k, m = rows
-        found = []
+        sig, tile, side, node, n, c, k, m = rows
+        found = [np.zeros((2, 0), np.int64)]
         at, d = np.arange(len(sig)), 0
         while len(at):
             d += 1
             at = at[at + d < len(sig)]
-            at = at[sig[at] == sig[at + d]]
+            at = at[(sig[at] == sig[at + d]) & (tile[at] == tile[at + d])]
             i, j = at, at + d
             low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             need = -(-NUM * (low + high) // (NUM + DEN)) + (-NUM * high // DEN) + 1
             need = np.where(sig[i] < 0, 1, np.maximum(1, need))
             ok = (c[i] != c[j]) & (DEN * low >= NUM * high) & ((sig[i] < 0) | (high > x)) & (k[i] <= m[i] - need + 1) & (k[j] <= m[j] - need + 1)
+            ok &= (side[i] < 0) | (side[i] != side[j])
             i, j = i[ok], j[ok]
             found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-        if found and (pairs := np.concatenate(found, axis=1)).shape[1]:
-            a, b = np.unique(pairs, axis=1)
-            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+            if sum(f.shape[1] for f in found) > 1 << 20 or d % 64 == 0:
+                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                if found[0].shape[1] > 1 << 19:
+                    yield table(found.pop())
+                    found = [np.zeros((2, 0), np.int64)]
+        if (pairs := np.concatenate(found, axis=1)).shape[1]:
+            yield table(np.unique(pairs, axis=1))
+
+    def table(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return run
 
 
+def tiles(far: DataFrame, tile: int = TILE) -> DataFrame:
+    """Rows (sig, tile, side, node, n, c, k, m) of all pairs of blocks of each list in `far`, whose lengths are in `length`."""
+    blocks = F.ceil(F.col("length") / tile).cast("long")
+    far = far.withColumn("of", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(9)), F.col("of")))
+    far = far.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low == high, -1).when(F.col("own") == low, 0).otherwise(1).cast("long")
+    out = far.select("sig", (low * F.col("of") + high).alias("tile"), side.alias("side"), "node", "n", "c", "k", "m")
+    return out.repartition("sig", "tile").sortWithinPartitions("sig", "tile")
+
+
 def shingled(batches):
-    """(doc_id, shingles): the whole set as sorted 64-bit integers in a binary value."""
+    """(doc_id, shingles) of rows (doc_id, text, k1, k2) whose set has that key: the whole set as sorted 64-bit integers in a binary value."""
     hasher = WordHasher()
-    for ids, sets in sets_of(batches, hasher):
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+    seen: set[int] = set()  # rows of one id come to one task; of those that repeat one is enough
+    for batch in batches:
+        want = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        at = 0
+        for ids, sets in sets_of([batch], hasher):
+            k1, k2 = keys_of(sets)
+            rows = []
+            for d, s, p, q in zip(ids.tolist(), sets, k1.tolist(), k2.tolist()):
+                if (p, q) == (want[0][at], want[1][at]) and d not in seen:
+                    rows.append((d, s.tobytes()))
+                    seen.add(d)
+                at += 1
+            yield pa.record_batch([pa.array([d for d, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["doc_id", "shingles"])
 
 
 def overlapping(batches):
@@ -207,29 +242,28 @@ def overlapping(batches):
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of document ids that are similar, by their whole texts."""
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar, by their whole texts. `nodes` has (node, k1, k2)."""
     pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Ids grow with the input, so they aren't broadcast at any size; hashing them spares a sort of the texts.
-    ids = stored(ids, "ids").hint("shuffle_hash")
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(shingled), "doc_id long, shingles binary")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = stored(ids.join(nodes, "node").select(F.col("node").alias("doc_id"), "k1", "k2"), "ids")
+    sets = docs.join(hashed(ids), "doc_id").select("doc_id", "text", "k1", "k2").mapInArrow(tidy(shingled), "doc_id long, shingles binary")
     sets = stored(sets, "sets")
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     out = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(overlapping), "a long, b long"), "links")
-    drop_stored(sets)
+    drop_stored(sets, ids)
     out._pairs = pairs
     return out
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
+def jaccard_join(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
 
     Links hold between two documents whose sets have 100 * intersection >= 75 * union; a document
     without words (null and empty texts too) links with nothing. Fewer than five words make one
-    shingle. Rows that repeat a doc_id are one document with the first row's text in hash order of
-    the texts; a null doc_id is dropped. Other columns are ignored. An empty table gives an empty one.
+    shingle. Rows that repeat a doc_id are one document, whose text is the one of the smallest set (ties by the set's key); the other
+    texts of that id play no part. A null doc_id is dropped. Other columns are ignored. An empty table gives an empty one.
     Equal sets share a class from their 128-bit sum; elements are 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -244,56 +278,45 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     spread = 1 + 2 * (total["often"] or 0) / max(1, total["all"] or 0)
     x = boundary(sizes, spread)
 
-    # Classes of equal sets; node: the smallest document of a class.
+    # Classes of equal sets; node: the smallest document of a class. Only one text of a document is in a class.
     key = ["n", "k1", "k2"]
-    nodes = narrow.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node"))
-    nodes = stored(narrow.join(nodes, key, "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "nodes")
-
-    # Lists with at least two nodes.
-    rows = docs.mapInArrow(tidy(prefixes(heavy, x)), "sig long, doc_id long")
-    every = Window.partitionBy("sig")
-    met = rows.withColumns({"low": F.min("doc_id").over(every), "high": F.max("doc_id").over(every)}).where("low < high").select("sig", "doc_id")
-    met = stored(met, "lists")
-    lists = met.join(nodes, "doc_id").select("sig", "node", "n").distinct()
-    lists = lists.withColumns({"low": F.min("node").over(every), "high": F.max("node").over(every)}).where("low < high")
-    lists = stored(lists.select("sig", "node", "n", F.col("low").alias("head")), "lists")
-    drop_stored(met)
+    nodes = stored(narrow.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node")), "nodes")
+    members = stored(narrow.join(nodes, key, "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
+    drop_stored(seen)
+
+    # Lists with at least two sets; head: the least key of a list. What a task has of a list is reduced before the shuffle, however long.
+    rows = stored(docs.mapInArrow(tidy(prefixes(heavy, x)), "sig long, k1 long"), "prefixes")
+    shared = rows.groupBy("sig").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("sig", F.col("low").alias("head"))
+    met = rows.join(shared, "sig").distinct()
+    lists = stored(met.join(nodes, "k1").select("sig", "node", "n", "head"), "lists")
+    drop_stored(rows)
 
     close = lambda p, q: DEN * F.least(p, q) >= NUM * F.greatest(p, q)
-    fit = lambda p, q: close(p, q) & ((F.col("sig") < 0) | (F.greatest(p, q) > x))
     whole = lambda n, a, b: F.floor((n * a + b - 1) / F.lit(b))  # noqa: E731  n * a / b rounded up
     least = lambda p, q: whole(p + q, NUM, NUM + DEN)  # noqa: E731  overlap that a link needs
     enough = lambda c, p, q: c + whole(F.greatest(p, q), NUM, DEN) - 1 >= least(p, q)
 
     # First round: for each node the head of a list that it meets most often.
-    heads = nodes.where("doc_id = node").select(F.col("node").alias("head"), F.col("n").alias("head_n"))
-    best = lists.where("node <> head").groupBy("head", "node", "n").agg(F.count("*").alias("c"), F.min("sig").alias("s")).join(heads, "head")
+    heads = nodes.select(F.col("k1").alias("head"), F.col("node").alias("head_node"), F.col("n").alias("head_n"))
+    best = lists.groupBy("head", "node", "n").agg(F.count("*").alias("c"), F.min("sig").alias("s")).join(heads, "head").where("node <> head_node")
     best = best.where(close(F.col("n"), F.col("head_n")) & ((F.col("s") < 0) | enough(F.col("c"), F.col("n"), F.col("head_n"))))
-    best = best.groupBy("node").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m"))
-    first = verified(best.select((-F.col("m.h")).alias("a"), F.col("node").alias("b")), docs)
+    best = best.groupBy("node").agg(F.max(F.struct("c", (-F.col("head_node")).alias("h"))).alias("m"))
+    best = best.select((-F.col("m.h")).alias("h"), "node").select(F.least("h", "node").alias("a"), F.greatest("h", "node").alias("b")).distinct()
+    first = verified(best, docs, nodes)
     label = stored(components(first), "labels")
 
     # Second round: what still lies in different components.
-    far = lists.join(label.withColumnRenamed("id", "node"), "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"), "head")
-    far = far.withColumns({"low": F.min("c").over(every), "high": F.max("c").over(every)}).where("low < high").select("sig", "node", "n", "c", "head")
+    far = lists.join(label.withColumnRenamed("id", "node"), "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"))
+    far = stored(far, "far")
+    open_ = far.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("length")).where("low < high").select("sig", "length")
     # A pair needs c_min common lists; of each side's lists, rarest first, one of the first (all - c_min + 1) is common.
     own = Window.partitionBy("node").orderBy("length", "sig")
-    far = far.withColumn("length", F.count("*").over(every)).withColumns({"k": F.row_number().over(own), "m": F.count("*").over(Window.partitionBy("node"))})
-    far = stored(far, "far")
-    # Lists of one passage have the same head, so their pairs meet in one task. Longer lists than LONG are joined.
-    short = far.where(F.col("length") <= LONG).select("head", "sig", "node", "n", "c", "k", "m").repartition("head").sortWithinPartitions("head", "sig")
-    short = short.mapInArrow(tidy(paired(x)), "a long, b long")
-    far_long = far.where(F.col("length") > LONG)
-    q = far_long.select("sig", *(F.col(k).alias(f"{k}2") for k in ("node", "n", "c", "k", "m")))
-    n1, n2 = F.col("n"), F.col("n2")
-    c_min = F.when(F.col("sig") < 0, 1).otherwise(F.greatest(F.lit(1), least(n1, n2) - whole(F.greatest(n1, n2), NUM, DEN) + 1))
-    early = (F.col("k") <= F.col("m") - c_min + 1) & (F.col("k2") <= F.col("m2") - c_min + 1)
-    long = far_long.join(q, "sig").where((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & fit(n1, n2) & early)
-    pairs = short.unionByName(long.select(F.col("node").alias("a"), F.col("node2").alias("b"))).distinct()
+    listed = far.join(open_, "sig").withColumns({"k": F.row_number().over(own), "m": F.count("*").over(Window.partitionBy("node"))})
+    pairs = tiles(listed, tile).mapInArrow(tidy(paired(x)), "a long, b long").distinct()
     pairs = pairs.join(first._pairs, ["a", "b"], "left_anti")
-    second = verified(pairs, docs)
+    second = verified(pairs, docs, nodes)
     out = stored(components(first.unionByName(second)), "labels")
-    drop_stored(lists, far, label, seen)
-    return nodes.join(out.withColumnRenamed("id", "node"), "node", "left").select(
+    drop_stored(lists, far, label, nodes, first._pairs, first, second._pairs, second)
+    return members.join(out.withColumnRenamed("id", "node"), "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
     )

@@ -8,7 +8,7 @@ keep a fraction. Blocks are shares of a source by hash, so a source of any size
 is left of all blocks is gathered and flown again, level by level, until one block of a source is
 left. There LANDING documents of all sizes stay aside; with the two that the flight leaves they are
 the landing problem, solved by trying every rounding for the one nearest to the source's words and
-number. Everything follows from hashes of ids, so reruns agree.
+number. Everything follows from hashes of ids and the rows' places in their files, so reruns agree.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import free_name, hashed, numbered, stored
 
 #: Weights of sources in the order of their names' code points, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -37,26 +37,35 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def _weighted(sizes: DataFrame) -> DataFrame:
+    """sizes with w, the weight of each source by its rank: sources are sorted by ranges, and a range's first rank is the
+    number of sources in those before it, so that no task sees all of them."""
+    order = [F.col("source").isNull(), F.encode("source", "UTF-8")]
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    part = sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "nth": inside})
+    part = stored(part, "sources")
+    first = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    first = part.groupBy("part").agg(F.count("*").alias("n")).select("part", first.alias("first"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("first") + F.col("nth")) % len(WEIGHTS) + 1).cast("int"))
+    return part.join(F.broadcast(first), "part").select("source", "source_size", weight.cast("double").alias("w"))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row per source.
 
-    Targets are proportional to weights up to CAP times a source's size, and the excess is shared by
-    weight until none is above: sources by rising cap per weight, the first ones are capped as long as the
-    level that the rest would get lies above their cap. All in running sums.
+    Targets are proportional to weights up to CAP times a source's size, and the excess is shared by weight until
+    none is above: each round adds up the caps of the sources that are full and the weights of the others, and gives
+    the level that the others get; a round's level is never below the last one's, so it ends.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.row_number().over(order) - 1) % len(WEIGHTS) + 1)
-    t = sizes.withColumn("w", weight.cast("double")).withColumn("cap", (CAP * F.col("source_size")).cast("double"))
-    rising = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.encode("source", "UTF-8"))
-    every = Window.partitionBy()
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumns({
-        "left": F.lit(SHARE) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-        "rest": F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)),
-    })
-    # The level at which the first source isn't capped holds for all that follow.
-    t = t.withColumn("level", F.min(F.when(F.col("left") / F.col("rest") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), F.col("left") / F.col("rest")))).over(every))
-    return t.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("level.col2"))).alias("target"))
+    t = stored(_weighted(sizes).withColumn("cap", (CAP * F.col("source_size")).cast("double")), "weights")
+    level, full = 0.0, -1
+    while True:
+        capped = F.col("cap") < F.lit(level) * F.col("w")
+        sums = t.agg(F.sum("source_size"), F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("w"))), F.count(F.when(capped, 1))).first()
+        if sums[3] == full or not sums[2]:
+            break
+        level, full = (SHARE * sums[0] - (sums[1] or 0.0)) / sums[2], sums[3]
+    return t.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def fly(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -92,15 +101,21 @@ def fly(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.array(pi)
 
 
+STATE = "source string, row_ long, size long, h long, pi double"
+
+
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.iloc[np.lexsort((pdf["row_"].to_numpy(), pdf["h"].to_numpy(), -pdf["size"].to_numpy()))]
+
+
 def _level(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (source, doc_id, size, pi) with pi after a flight of each group."""
+    """rows (source, row_, size, h, pi) with pi after a flight of each group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["doc_id"].fillna(-1).to_numpy(), pdf["h"].to_numpy(), -pdf["size"].to_numpy()))
-        pdf = pdf.iloc[order]
-        return pdf.assign(pi=fly(pdf["pi"].to_numpy(float), pdf["size"].to_numpy(float)))[["source", "doc_id", "size", "h", "pi"]]
+        pdf = _ordered(pdf)
+        return pdf.assign(pi=fly(pdf["pi"].to_numpy(float), pdf["size"].to_numpy(float)))[["source", "row_", "size", "h", "pi"]]
 
-    return rows.groupBy(*keys).applyInPandas(run, "source string, doc_id long, size long, h long, pi double")
+    return rows.groupBy(*keys).applyInPandas(run, STATE)
 
 
 def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -123,19 +138,11 @@ def fly_and_land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     return pi
 
 
-def choose(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies int): one row per row of docs (doc_id, source, text).
-
-    copies is 0, 1 or 2. A null or wordless text has size 0; a source without words has target 0 and is not
-    taken. A null source is a source, last in order; a null doc_id is taken like others. Equal rows are
-    separate documents. An empty table gives an empty one. Where a source has many documents, its copies come
-    within a few words of its target; where it has few, as near as the roundings of the last allow.
-    """
-    spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
+def _plan(rows: DataFrame) -> DataFrame:
+    """(row_, doc_id, source, size, source_size, target, copies) of rows (row_, doc_id, source, text)."""
+    sized = rows.select("row_", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
     sized = stored(sized, "sizes")
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    goal = stored(goal, "targets")
+    goal = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     largest = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # A whole number within rounding errors is whole.
@@ -143,46 +150,46 @@ def choose(docs: DataFrame) -> DataFrame:
     rates = goal.select(F.col("source").alias("source_"), "source_size", "target", F.floor(near).alias("whole"), (near - F.floor(near)).alias("part"))
     with_rate = lambda df: df.join(rates, df["source"].eqNullSafe(rates["source_"])).drop("source_")
 
-    state = with_rate(sized).select("source", "doc_id", "size", F.xxhash64("doc_id", "size").alias("h"), F.col("part").alias("pi"))
+    state = with_rate(sized).select("source", "row_", "size", F.xxhash64("doc_id", "size").alias("h"), F.col("part").alias("pi"))
     done = []
     n = largest
     while n > BLOCK:
         n_blocks = -(-n // BLOCK)
-        flown = stored(_level(state.withColumn("block", F.pmod(F.xxhash64("h", F.lit(len(done))), F.lit(n_blocks))), ["source", "block"]), "flight")
+        flown = stored(_level(state.withColumn("block", F.pmod(F.xxhash64("h", "row_", F.lit(len(done))), F.lit(n_blocks))), ["source", "block"]), "flight")
         done.append(flown.where("pi in (0, 1)"))
         state, n = flown.where("pi not in (0, 1)"), 2 * n_blocks
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["doc_id"].fillna(-1).to_numpy(), pdf["h"].to_numpy(), -pdf["size"].to_numpy()))
-        pdf = pdf.iloc[order]
-        return pdf.assign(pi=fly_and_land(pdf["pi"].to_numpy(float), pdf["size"].to_numpy(float)))[["source", "doc_id", "size", "h", "pi"]]
+        pdf = _ordered(pdf)
+        return pdf.assign(pi=fly_and_land(pdf["pi"].to_numpy(float), pdf["size"].to_numpy(float)))[["source", "row_", "size", "h", "pi"]]
 
-    out = state.groupBy("source").applyInPandas(finish, "source string, doc_id long, size long, h long, pi double")
+    out = state.groupBy("source").applyInPandas(finish, STATE)
     for d in done:
         out = out.unionByName(d)
-    return with_rate(out).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("pi")).cast("int").alias("copies"))
+    out = out.select("row_", "pi").join(with_rate(sized), "row_")
+    return out.select("row_", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("pi")).cast("int").alias("copies"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of docs, each as often as choose() takes it; columns stay as they are.
+def choose(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies int): one row per row of docs (doc_id, source, text).
 
-    Where rows agree in doc_id, source and size, copies go to them in any order.
+    copies is 0, 1 or 2. A null or wordless text has size 0; a source without words has target 0 and is not
+    taken. A null source is a source, last in order; a null doc_id is taken like others. Equal rows are
+    separate documents. An empty table gives an empty one. Where a source has many documents, its copies come
+    within a few words of its target; where it has few, as near as the roundings of the last allow.
     """
-    keys = ["doc_id", "source", "size_"]
-    count = [F.count("*").alias("rows_"), *[F.sum((F.col("copies") == k).cast("long")).alias(f"n{k}_") for k in (2, 1)]]
-    taken = stored(choose(docs).groupBy("doc_id", "source", "size").agg(*count).where("n1_ + n2_ > 0"), "taken")
-    single = taken.where("rows_ > 1").isEmpty()
-    taken = taken.select(*[F.col(c).alias(f"{c}_t") for c in ("doc_id", "source", "size")], "n1_", "n2_")
-    rows = docs.withColumn("size_", size_of(F.col("text"))).alias("d")
-    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("doc_id_t")) & F.col("d.source").eqNullSafe(F.col("source_t")) & (F.col("size_") == F.col("size_t"))
-    # Decisions grow with the input, so they aren't broadcast at any size; hashing them spares a sort of the texts.
-    both = rows.join(taken.hint("shuffle_hash"), on)
-    if single:
-        copies = 2 * F.col("n2_") + F.col("n1_")
-    else:
-        both = both.withColumn("nth_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
-        copies = F.when(F.col("nth_") <= F.col("n2_"), 2).when(F.col("nth_") <= F.col("n2_") + F.col("n1_"), 1).otherwise(0)
-    return both.withColumn("copy_", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long")))).where("copy_ > 0").select(*docs.columns)
+    rows, row = numbered(docs.select("doc_id", "source", "text"))
+    return _plan(rows.withColumnRenamed(row, "row_")).drop("row_")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """The mix itself: rows of docs, each as often as choose() takes it; columns stay as they are, whatever their names."""
+    rows, row = numbered(docs)
+    copies, nth = free_name("copies_", rows), free_name("copy_", rows)
+    taken = _plan(rows.select(F.col(row).alias("row_"), "doc_id", "source", "text")).where("copies > 0").select(F.col("row_").alias(row), F.col("copies").alias(copies))
+    taken = stored(taken, "taken")
+    both = rows.join(hashed(taken), row)
+    return both.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
