@@ -284,11 +284,10 @@ def jaccard_join(docs: DataFrame, tile: int = TILE) -> DataFrame:
     members = stored(narrow.join(nodes, key, "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
     drop_stored(seen)
 
-    # Lists with at least two sets; head: the least key of a list. What a task has of a list is reduced before the shuffle, however long.
+    # Lists with at least two sets. What a task has of a list is reduced before the shuffle, however long it is.
     rows = stored(docs.mapInArrow(tidy(prefixes(heavy, x)), "sig long, k1 long"), "prefixes")
-    shared = rows.groupBy("sig").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("sig", F.col("low").alias("head"))
-    met = rows.join(shared, "sig").distinct()
-    lists = stored(met.join(nodes, "k1").select("sig", "node", "n", "head"), "lists")
+    shared = rows.groupBy("sig").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("sig")
+    lists = stored(rows.join(shared, "sig").distinct().join(nodes.select("node", "n", "k1"), "k1").select("sig", "node", "n"), "lists")
     drop_stored(rows)
 
     close = lambda p, q: DEN * F.least(p, q) >= NUM * F.greatest(p, q)
@@ -296,11 +295,12 @@ def jaccard_join(docs: DataFrame, tile: int = TILE) -> DataFrame:
     least = lambda p, q: whole(p + q, NUM, NUM + DEN)  # noqa: E731  overlap that a link needs
     enough = lambda c, p, q: c + whole(F.greatest(p, q), NUM, DEN) - 1 >= least(p, q)
 
-    # First round: for each node the head of a list that it meets most often.
-    heads = nodes.select(F.col("k1").alias("head"), F.col("node").alias("head_node"), F.col("n").alias("head_n"))
-    best = lists.groupBy("head", "node", "n").agg(F.count("*").alias("c"), F.min("sig").alias("s")).join(heads, "head").where("node <> head_node")
+    # First round: for each node the head (least document) of a list that it meets most often.
+    heads = lists.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("sig", "head")
+    best = lists.join(heads, "sig").where("node <> head").groupBy("head", "node", "n").agg(F.count("*").alias("c"), F.min("sig").alias("s"))
+    best = best.join(nodes.select(F.col("node").alias("head"), F.col("n").alias("head_n")), "head")
     best = best.where(close(F.col("n"), F.col("head_n")) & ((F.col("s") < 0) | enough(F.col("c"), F.col("n"), F.col("head_n"))))
-    best = best.groupBy("node").agg(F.max(F.struct("c", (-F.col("head_node")).alias("h"))).alias("m"))
+    best = best.groupBy("node").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m"))
     best = best.select((-F.col("m.h")).alias("h"), "node").select(F.least("h", "node").alias("a"), F.greatest("h", "node").alias("b")).distinct()
     first = verified(best, docs, nodes)
     label = stored(components(first), "labels")
