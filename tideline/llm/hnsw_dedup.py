@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
 from .components import components
-from .vectors import matrix, norms, safe, usable
+from .vectors import matrix, norms, safe, usable, with_rows
 
 SIMILAR = 0.9
 DEGREE, BUILD_BEAM, BATCH = 12, 32, 512
 BEAM, WIDEST, AUDIT, AUDIT_LINKS, SAMPLE = 24, 192, 0.995, 1000, 64
-#: Nodes of a shard and queries of a block; so many shards at least, if a shard then has LEAST nodes.
-SHARD, BLOCK, SHARDS, LEAST = 131_072, 131_072, 6, 512
+#: Nodes of a shard and queries of a block at most, and bytes of either; so many shards at least, if a shard then has LEAST nodes.
+SHARD, BYTES, SHARDS, LEAST = 131_072, 256 << 20, 6, 512
 LAYER = 16
 
 
@@ -252,20 +252,23 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def near_duplicates(table: DataFrame, similar: float = SIMILAR, shards: int | None = None) -> DataFrame:
-    """One row per id of `table`: vec_id, n_links (other ids linked directly), component_id, kept.
+    """One row per row of `table` with a vec_id: vec_id, n_links (other rows linked directly), component_id (least vec_id reachable), kept.
 
     Links hold between vectors of one dimension with a cosine of at least `similar`. What isn't usable (see
-    usable()) links with nothing; rows that repeat an id are one, null ids are left out. Other columns are ignored. An empty
+    usable()) links with nothing. Rows that repeat an id are vectors of their own: they link by their cosine, not by the id,
+    and count as links. Rows with null ids are left out. Other columns are ignored. An empty
     table gives an empty one. Labels play no part.
     """
-    rows = usable(table).withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(7), "embedding")})
+    every = with_rows(table)
+    rows = usable(every).withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(7), "embedding")})
     rows = stored(rows, "vectors")
     key = ["dim", "k1", "k2"]
-    nodes = stored(rows.groupBy(*key).agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "nodes")
-    n = nodes.count()
-    s = shards or max(-(-n // SHARD), min(SHARDS, max(1, n // LEAST)))
-    blocks = max(1, -(-n // BLOCK))
-    vec = rows.join(nodes.select("node", "weight"), F.col("vec_id") == F.col("node")).select("node", "weight", "dim", "embedding")
+    nodes = stored(rows.groupBy(*key).agg(F.min("row_").alias("node"), F.count("*").alias("weight"), F.min("vec_id").alias("least")), "nodes")
+    n, widest = nodes.agg(F.count("*"), F.max("dim")).first()
+    most = max(LEAST, min(SHARD, BYTES // (8 * (widest or 1) + 8 * DEGREE + 64)))
+    s = shards or max(-(-n // most), min(SHARDS, max(1, n // LEAST)))
+    blocks = max(1, -(-n // most))
+    vec = rows.join(nodes.select("node", "weight"), F.col("row_") == F.col("node")).select("node", "weight", "dim", "embedding")
     vec = vec.withColumns({"shard": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(s)).cast("int"), "order_": F.xxhash64("node", F.lit(3))})
     vec = stored(vec, "vectors")
 
@@ -314,9 +317,11 @@ def near_duplicates(table: DataFrame, similar: float = SIMILAR, shards: int | No
     found = stored(found, "links")
     count = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     label = components(found.where("other is not null"), "node", "other").withColumnRenamed("id", "node")
-    nodes = nodes.join(count, "node", "left").join(label, "node", "left")
-    linked = rows.select("vec_id", *key).join(nodes, key).select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    every = table.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
-    drop_stored(graphs)
-    out = every.join(linked, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    nodes = nodes.join(count, "node", "left").join(label, "node", "left").withColumn("group_", F.coalesce("component", "node"))
+    nodes = stored(nodes.withColumn("links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1).drop("component"), "labels")
+    least = nodes.groupBy("group_").agg(F.min("least").alias("component_id"))
+    linked = rows.select("row_", *key).join(nodes, key).join(least, "group_").select("row_", "links", "component_id")
+    drop_stored(graphs, vec, found)
+    out = every.where("vec_id is not null").select("row_", F.col("vec_id").cast("long").alias("vec_id")).join(linked, "row_", "left")
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -7,14 +7,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
 
-def usable(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, embedding array<double>, dim), one row per id: vectors that are null, empty, zero or hold null or
-    non-finite components are left out, as are null ids; of rows that repeat an id the least vector stays."""
-    rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+
+def usable(rows: DataFrame) -> DataFrame:
+    """(row_, vec_id, embedding array<double>, dim) of rows (row_, vec_id, embedding): vectors that are null, empty, zero or hold null or
+    non-finite components are left out, as are null ids. Rows that repeat an id are vectors of their own."""
+    rows = rows.select("row_", F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite & F.exists("embedding", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    return rows.withColumn("dim", F.size("embedding"))
+
+
+def with_rows(table: DataFrame) -> DataFrame:
+    """(row_, vec_id, embedding) of a table, its rows told apart by row_."""
+    rows, row = numbered(table.select("vec_id", "embedding"))
+    return rows.withColumnRenamed(row, "row_")
 
 
 def matrix(column, dim: int) -> np.ndarray:
