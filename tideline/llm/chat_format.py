@@ -1,14 +1,18 @@
 """Chat formatting: layouts of conversations told by a fingerprint of their field paths, DataFrame functions only.
 
-A record's layout is the sorted list of its nested field paths; a hash of that list selects the declarative
-mapping that turns it into canonical turns (role, text). Columns with a schema have one fingerprint;
-JSON texts have one each, from the schema of the parsed value. The template marks turns and escapes its
+A layout is declared as the field paths that tell it and the SQL that makes canonical turns (role, text) of a
+record. The hash of a layout's paths is its fingerprint. A record has, for each layout, the hash of those of its own paths that the layout names;
+where the two agree the record has all of the layout's fields, and whatever else it has (ids, metadata, names of
+speakers) is ignored. Of several layouts that agree the one with most fields is taken. Columns with a schema have
+one fingerprint for the table; JSON texts have one each. A table with a row for each turn is a layout like
+the others, whose records are gathered by conversation. The template marks turns and escapes its
 control strings inside roles and texts, so that the output can be read back to the same turns.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,94 +37,121 @@ def paths_of(schema: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-#: Declarative mappings: the fields that tell a layout, and the SQL for its turns. A turn's role is one of the
-#: canonical ones where ROLES knows it. `r` is the record; the SQL gives an array of (role, text).
+class Layout(NamedTuple):
+    """The fields that tell a layout, and the SQL for the turns of a record `r`, an array of (role, text). With `by`, a record is a part of the
+    conversation that the first field names, in order of the second; its roles stay as they are."""
+
+    fields: list[str]
+    turns: str
+    by: tuple[str, str] | None = None
+
+
+#: Declarative mappings. A turn's role is one of the canonical ones where ROLES knows it; an empty list has the path `[0]`.
 _TURNS = "transform({0}, m -> named_struct('role', cast(m.{1} as string), 'text', cast(m.{2} as string)))"
 _ONE = "named_struct('role', '{0}', 'text', cast(r.{1} as string))"
-LAYOUTS: dict[str, tuple[list[str], str]] = {
-    "messages": (["messages[].role", "messages[].content"], _TURNS.format("r.messages", "role", "content")),
-    "sharegpt": (["conversations[].from", "conversations[].value"], _TURNS.format("r.conversations", "`from`", "value")),
-    "turns": (["turns[].role", "turns[].text"], _TURNS.format("r.turns", "role", "text")),
-    "prompt": (["prompt", "completion"], f"array({_ONE.format('user', 'prompt')}, {_ONE.format('assistant', 'completion')})"),
-    "prompt_response": (["prompt", "response"], f"array({_ONE.format('user', 'prompt')}, {_ONE.format('assistant', 'response')})"),
-    "instruction": (["instruction", "output"], f"array({_ONE.format('user', 'instruction')}, {_ONE.format('assistant', 'output')})"),
-    "instruction_input": (
+_NONE = "cast(array() as array<struct<role:string,text:string>>)"
+LAYOUTS: dict[str, Layout] = {
+    "rows": Layout(["conv_id", "turn", "role", "text"], "array(named_struct('role', cast(r.role as string), 'text', cast(r.text as string)))", ("conv_id", "turn")),
+    "messages": Layout(["messages[].role", "messages[].content"], _TURNS.format("r.messages", "role", "content")),
+    "sharegpt": Layout(["conversations[].from", "conversations[].value"], _TURNS.format("r.conversations", "`from`", "value")),
+    "turns": Layout(["turns[].role", "turns[].text"], _TURNS.format("r.turns", "role", "text")),
+    "prompt": Layout(["prompt", "completion"], f"array({_ONE.format('user', 'prompt')}, {_ONE.format('assistant', 'completion')})"),
+    "prompt_response": Layout(["prompt", "response"], f"array({_ONE.format('user', 'prompt')}, {_ONE.format('assistant', 'response')})"),
+    "instruction": Layout(["instruction", "output"], f"array({_ONE.format('user', 'instruction')}, {_ONE.format('assistant', 'output')})"),
+    "instruction_input": Layout(
         ["instruction", "input", "output"],
         "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', cast(r.instruction as string), nullif(cast(r.input as string), ''))), " + _ONE.format("assistant", "output") + ")",
     ),
-    "system_prompt": (["system", "prompt", "response"], f"array({_ONE.format('system', 'system')}, {_ONE.format('user', 'prompt')}, {_ONE.format('assistant', 'response')})"),
-    "question": (["question", "answer"], f"array({_ONE.format('user', 'question')}, {_ONE.format('assistant', 'answer')})"),
+    "system_prompt": Layout(["system", "prompt", "response"], f"array({_ONE.format('system', 'system')}, {_ONE.format('user', 'prompt')}, {_ONE.format('assistant', 'response')})"),
+    "question": Layout(["question", "answer"], f"array({_ONE.format('user', 'question')}, {_ONE.format('assistant', 'answer')})"),
+    "no_messages": Layout(["messages[0]"], _NONE),
+    "no_conversations": Layout(["conversations[0]"], _NONE),
+    "no_turns": Layout(["turns[0]"], _NONE),
 }
-BY_FINGERPRINT = {fingerprint(p): name for name, (p, _) in LAYOUTS.items()}
-#: One row per turn: conv_id, turn, role, text.
-ROWS = fingerprint(["conv_id", "turn", "role", "text"])
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+def _ranked() -> list[tuple[str, Layout]]:
+    """Layouts by number of fields, most first; of equal ones the first declared."""
+    return sorted(LAYOUTS.items(), key=lambda x: -len(x[1].fields))
+
+
+def layout_of(paths: list[str]) -> str | None:
+    """The layout whose fingerprint is that of the fields it shares with `paths`."""
+    return next((name for name, l in _ranked() if fingerprint([p for p in paths if p in l.fields]) == fingerprint(l.fields)), None)
+
+
 def role_of(role: Column) -> Column:
     """A canonical role; an unknown one stays, null is empty."""
     known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     return F.coalesce(F.element_at(known, role), role, F.lit(""))
 
 
-def _canonical(turns: Column) -> Column:
-    return F.transform(turns, lambda t: F.struct(role_of(t["role"]).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+def _canonical(turns: Column, as_is: bool = False) -> Column:
+    role = (lambda r: F.coalesce(r, F.lit(""))) if as_is else role_of
+    return F.transform(turns, lambda t: F.struct(role(t["role"]).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
 
-def _json_paths(schema: Column) -> Column:
-    """Field paths of a variant's schema text, as paths_of() writes them, for layouts of one level and arrays of records."""
-    body = F.regexp_replace(schema, "^OBJECT<|>$", "")
-    body = F.regexp_replace(body, r"(\w+): ARRAY<OBJECT<([^<>]*)>>", "$1: [$2]")
-    fields = F.split(body, r", (?![^\[]*\])")
-    nested = lambda f: F.transform(F.split(F.regexp_extract(f, r"\[(.*)\]", 1), ", "), lambda x: F.concat(F.regexp_extract(f, r"^([^:]*):", 1), F.lit("[]."), F.regexp_extract(x, r"^([^:]*):", 1)))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(fields, lambda f: F.when(f.contains("["), nested(f)).otherwise(F.array(F.regexp_extract(f, r"^([^:]*):", 1)))))))
+def _json_paths(text: Column) -> Column:
+    """Field paths of a JSON object's text, as paths_of() writes them: its keys, and the keys of the records in the lists that a layout names."""
+    none = F.array().cast("array<string>")
+    found = [F.coalesce(F.json_object_keys(text), none)]
+    for name in sorted({p.partition("[")[0] for l in LAYOUTS.values() for p in l.fields if "[" in p}):
+        records = F.from_json(F.get_json_object(text, f"$.{name}"), "array<map<string,string>>")
+        keys = F.array_distinct(F.flatten(F.transform(records, lambda m: F.coalesce(F.map_keys(m), none))))
+        found.append(F.coalesce(F.when(F.size(records) == 0, F.array(F.lit(f"{name}[0]"))).otherwise(F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))), none))  # noqa: B023
+    return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
 def from_json(rows: DataFrame, column: str = "record") -> DataFrame:
     """rows with fingerprint, layout and turns (array of role, text) of the JSON texts in `column`.
 
-    Each text's own fingerprint selects its mapping. What is no JSON object, or has no known layout, has null
-    layout and turns; its row stays. Extra columns are kept, those of the new names replaced.
+    Each text's own fields select its mapping; the fingerprint is that of the layout, or of all paths where there is none. Fields that the
+    layout doesn't name are ignored, a null field is an empty text. An empty list of messages has no turns. What is
+    no JSON object, or has no known layout, has null layout and turns; its row stays. Extra columns are kept, those of the new names replaced.
     """
-    v = F.try_parse_json(F.col(column))
-    out = rows.drop("fingerprint", "layout", "turns").withColumn("_paths", _json_paths(F.schema_of_variant(v)))
-    out = out.withColumn("fingerprint", F.substring(F.sha2(F.array_join("_paths", ","), 256), 1, 16))
-    layout = F.element_at(F.create_map(*[F.lit(x) for kv in BY_FINGERPRINT.items() for x in kv]), F.col("fingerprint"))
-    out = out.withColumn("layout", layout)
+    sha = lambda paths: F.substring(F.sha2(F.array_join(paths, ","), 256), 1, 16)
+    out = rows.drop("fingerprint", "layout", "turns").withColumn("_paths", _json_paths(F.col(column)))
+    layout, print_ = F.lit(None).cast("string"), sha(F.col("_paths"))
+    whole = [(name, l) for name, l in _ranked() if not l.by]
+    for name, l in reversed(whole):
+        own = sha(F.array_intersect("_paths", F.array(*map(F.lit, l.fields)))) == fingerprint(l.fields)
+        layout, print_ = F.when(own, name).otherwise(layout), F.when(own, fingerprint(l.fields)).otherwise(print_)
+    out = out.withColumns({"layout": layout, "fingerprint": print_})
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for name, (paths, sql) in LAYOUTS.items():
+    for name, l in whole:
         inner: dict[str, list[str]] = {}
-        for p in paths:
+        for p in l.fields:
             a, _, b = p.partition("[].")
             inner.setdefault(a, []).extend([b] if b else [])
         ddl = ", ".join(f"`{a}` " + (f"array<struct<{', '.join(f'`{b}`:string' for b in bs)}>>" if bs else "string") for a, bs in inner.items())
-        record = F.from_json(F.col(column), T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else ddl)
-        out = out.withColumn(f"_r_{name}", F.when(F.col("layout") == name, record))
-        turns = F.when(F.col("layout") == name, F.expr(sql.replace("r.", f"`_r_{name}`."))).otherwise(turns)
+        out = out.withColumn(f"_r_{name}", F.when(F.col("layout") == name, F.from_json(F.col(column), ddl)))
+        turns = F.when(F.col("layout") == name, F.expr(l.turns.replace("r.", f"`_r_{name}`."))).otherwise(turns)
     return out.withColumn("turns", _canonical(turns)).drop("_paths", *[f"_r_{n}" for n in LAYOUTS])
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
     """(conv_id, turns) of a table whose layout is told by the fingerprint of its columns.
 
-    One row per turn (conv_id, turn, role, text; other columns are ignored): turns are in order of turn, ties
-    by role and text, nulls first; equal rows are turns of their own; a null conv_id is a conversation. Other
-    tables: one conversation per row, with columns of one of LAYOUTS (besides conv_id, which may lack).
+    One row per turn (conv_id, turn, role, text): turns are in order of turn, ties by role and text, nulls first; equal
+    rows are turns of their own; a null conv_id is a conversation. Other tables: one conversation per row, with the columns of one
+    of LAYOUTS (conv_id may lack, and is null then). Other columns are ignored; an empty table gives an empty one.
     A conversation is one value of the result, so it has to fit into a task.
     """
-    have = {f.name for f in rows.schema.fields}
-    if {"conv_id", "turn", "role", "text"} <= have and fingerprint(paths_of(rows.select("conv_id", "turn", "role", "text").schema)) == ROWS:
-        turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn), _by_turn).alias("t"))
-        return grouped.select("conv_id", F.transform("t", lambda t: F.struct(t["role"], t["text"])).alias("turns"))
-    paths = [p for p in paths_of(rows.schema) if p != "conv_id"]
-    name = BY_FINGERPRINT.get(fingerprint(paths))
+    name = layout_of(paths_of(rows.schema))
     if name is None:
-        raise ValueError(f"no layout has the fields {sorted(paths)}")
-    fields = F.struct(*[F.col(c) for c in rows.columns if c != "conv_id"])
-    key = F.col("conv_id") if "conv_id" in have else F.lit(None).cast("long").alias("conv_id")
-    return rows.select(key, fields.alias("r")).select("conv_id", _canonical(F.expr(LAYOUTS[name][1])).alias("turns"))
+        raise ValueError(f"no layout has the fields {sorted(paths_of(rows.schema))}")
+    layout = LAYOUTS[name]
+    used = [c for c in rows.columns if any(p == c or p.startswith((f"{c}[", f"{c}.")) for p in layout.fields)]
+    record = rows.select(*([F.col("conv_id")] if "conv_id" in rows.columns else [F.lit(None).cast("long").alias("conv_id")]), F.struct(*[F.col(f"`{c}`") for c in used]).alias("r"))
+    turns = _canonical(F.expr(layout.turns), as_is=layout.by is not None)
+    if layout.by is None:
+        return record.select("conv_id", turns.alias("turns"))
+    key, order = layout.by
+    parts = record.select(F.col(f"r.{key}").alias("conv_id"), F.explode(F.transform(turns, lambda t: F.struct(F.col(f"r.{order}").alias("turn"), t["role"].alias("role"), t["text"].alias("text")))).alias("t"))
+    grouped = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("t"))
+    return grouped.select("conv_id", F.transform("t", lambda t: F.struct(t["role"], t["text"])).alias("turns"))
 
 
 def _by_turn(a: Column, b: Column) -> Column:
