@@ -430,6 +430,7 @@ def test_search_recall(spark):
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
     got = collision_search.search(table, F.col("vec_id") % 50 == 0, shard=200, block=4).toPandas()
     hit = total = 0
+    assert set(got["query_id"]) == {q for q in ids if q % 50 == 0} and (got.groupby("query_id").size() == 5).all()
     for q, g in got.groupby("query_id"):
         s = x @ x[np.searchsorted(ids, q)]
         s[ids == q] = -9
@@ -441,11 +442,36 @@ def test_search_recall(spark):
 
 def test_search_of_odd_vectors(spark):
     got = collision_search.search(odd_vectors(spark), F.col("vec_id") % 50 == 0).collect()
-    assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == 0] == [(1, 1), (2, 50), (3, 8)]
-    assert {r["query_id"] for r in got} == {0, 50}
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == 0] == [(1, 1), (2, 50), (3, 8), (4, 8)]
+    assert {r["query_id"] for r in got} == {0, 50} and all(0 < r["verified"] <= 1 for r in got)
     assert collision_search.search(spark.createDataFrame([], VECS), F.lit(True)).count() == 0
 
 
+def test_search_takes_every_row(spark):
+    """Rows that repeat an id are candidates each and queries each."""
+    rows = [(0, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [1.0, 0.1]), (0, [0.0, -1.0]), (4, [0.5, 0.5])]
+    got = collision_search.search(spark.createDataFrame([(*r, 0, "s") for r in rows], VECS), F.col("vec_id") == 0, k=3).orderBy("query_row", "rank").collect()
+    assert sorted([(r["query_id"], r["rank"], r["vec_id"]) for r in got]) == sorted([(0, 1, 3), (0, 2, 4), (0, 3, 0), (0, 1, 0), (0, 2, 3), (0, 3, 4)])
+    assert got[0]["score"] == pytest.approx(1 / np.sqrt(1.01), abs=1e-7) or got[3]["score"] == pytest.approx(1 / np.sqrt(1.01), abs=1e-7)
+
+
+def test_near_duplicates_take_every_row(spark):
+    """Rows that repeat an id link by their own vectors, and keep the least id that they reach."""
+    rows = [(7, [1.0, 0.0]), (9, [0.0, 1.0]), (9, [1.0, 0.1]), (5, [0.05, 1.0]), (9, [0.0, 1.0])]
+    got = hnsw_dedup.near_duplicates(spark.createDataFrame([(*r, 0, "s") for r in rows], VECS)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(5, 2, 5, True), (7, 1, 7, True), (9, 1, 7, False), (9, 2, 5, False), (9, 2, 5, False)]
+
+
+def test_wide_vectors_make_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw_dedup, "BYTES", 1 << 20)
+    monkeypatch.setattr(hnsw_dedup, "LEAST", 16)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((600, 400))
+    x = np.concatenate([base, base[:50] + 0.01 * rng.standard_normal((50, 400))])
+    got = hnsw_dedup.near_duplicates(spark.createDataFrame([(k, v.tolist(), 0, "s") for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int, score string")).collect()
+    assert {r["vec_id"]: r["component_id"] for r in got} == {k: k if k < 600 else k - 600 for k in range(650)}
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((400, 16))
@@ -493,10 +519,82 @@ def test_every_beam_is_audited(blind):
 
 def test_near_duplicates_of_odd_vectors(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in hnsw_dedup.near_duplicates(odd_vectors(spark)).collect()}
-    assert got == {k: (0, k, True) for k in (2, 3, 4, 5, 6, 7, 8, 100, 150)} | {0: (2, 0, True), 1: (2, 0, False), 50: (2, 0, False)}
+    assert got == {k: (0, k, True) for k in (2, 3, 4, 5, 6, 7, 100, 150)} | {8: (1, 8, True)} | {0: (2, 0, True), 1: (2, 0, False), 50: (2, 0, False)}
     assert hnsw_dedup.near_duplicates(spark.createDataFrame([], VECS)).count() == 0
 
 
+def brute_votes(text):
+    """The labellers' rules, each over one text's characters, words and lines."""
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    lines = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in raw.split(b"\n") if x]
+    size, n = max(1, len(re.sub(rb"[\x20\x09-\x0D]", b"", raw))), max(1, len(words))
+    share = lambda chars: sum(c in chars for c in raw) / size
+    upper = (sum(65 <= c <= 90 for c in raw) + sum(raw[k] == 0xC3 and 0x80 <= raw[k + 1] < 0x9F for k in range(len(raw) - 1))) / size
+    most, distinct, unlike = max(Counter(low).values(), default=0), len(set(low)), len(set(lines))
+    marked, same = sum(w[-1] in b"!?*%&$#|" for w in words) / n, sum(a == b for a, b in zip(low, low[1:])) / n
+    symbols, digits, mean = share(b"*%&$#|<>{}\\~^=@"), share(b"0123456789"), size / n
+    w = len(words)
+    rules = [
+        (w < 1, w >= 30), (symbols > 0.04, symbols < 0.01), (len(lines) >= 2 and unlike < 0.7 * len(lines), len(lines) >= 3 and unlike >= 0.95 * len(lines)),
+        (w >= 20 and distinct < 0.35 * n, w >= 20 and distinct > 0.5 * n), (w >= 10 and most > 0.25 * n, w >= 20 and most < 0.15 * n), (upper > 0.3, upper < 0.1),
+        (mean < 2.5 or mean > 14, 3.5 < mean < 9), (marked > 0.2, marked < 0.05), (digits > 0.5, digits < 0.1), (w >= 8 and same > 0.15, w >= 8 and same < 0.05),
+    ]
+    return [-1 if bad else 1 if good else 0 for bad, good in rules]
+
+
+def brute_posteriors(votes, rounds=100):
+    """Expectation-maximisation vote by vote: every document's own chance of being good."""
+    good = [0.1 if -1 in v else 0.9 for v in votes]
+    for _ in range(rounds):
+        prior = (sum(good) + 1) / (len(votes) + 2)
+        table = []
+        for j in range(len(votes[0]) if votes else 0):
+            c = {(g, x): 0.1 + sum((p if g else 1 - p) for v, p in zip(votes, good) if v[j] == x) for g in (0, 1) for x in (-1, 1)}
+            table.append({(g, x): c[g, x] / (c[g, -1] + c[g, 1]) for g in (0, 1) for x in (-1, 1)})
+        new = []
+        for v in votes:
+            a, b = prior, 1 - prior
+            for j, x in enumerate(v):
+                if x:
+                    a, b = a * table[j][1, x], b * table[j][0, x]
+            new.append(a / (a + b))
+        if max((abs(x - y) for x, y in zip(new, good)), default=0) < 1e-9:
+            return new
+        good = new
+    return good
+
+
+def test_quality_equals_a_plain_count(spark, docs, odd):
+    """Votes by the rules, and posteriors by a plain expectation-maximisation over single documents."""
+    for table in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
+        rows = [(r["doc_id"], r["text"], list(r["votes"]), r["weak_label"], r["score"], r["keep"]) for r in quality.classify(table).withColumnRenamed("doc_id", "d").join(table, F.col("d").eqNullSafe(F.col("doc_id"))).drop("d").collect()]
+        assert all(v == brute_votes(t) for _, t, v, *_ in rows)
+        plain = brute_posteriors([r[2] for r in rows]) if table.count() == len(rows) else None
+        if plain:
+            assert np.allclose([r[3] for r in rows], plain, atol=1e-6)
+        assert all(r[5] == (max(r[3], r[4]) >= quality.KEEP) for r in rows)
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    """Neither null ids, nor one id or one text that a third of all rows have, make a sample larger."""
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 40)
+    monkeypatch.setattr(language_id, "TRAIN_ROWS", 40)
+    rows = [(None, f"word{k} and more text of number {k}", "en") for k in range(900)] + [(5, "the same text again", "en")] * 900 + [(7, f"other words {k} here", "en") for k in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    plain = quality.train
+    monkeypatch.setattr(quality, "train", lambda rows: seen.append(len(rows)) or plain(rows))
+    quality.classify(table).count()
+    assert 10 <= seen[0] <= 40
+    texts = []
+    monkeypatch.setattr(language_id, "Model", lambda training, even=True: texts.append(training))
+    language_id.fit(table)
+    got = texts[0]["en"].split("\n")
+    assert 10 <= len(got) <= 120 and len(set(got)) == len(got)
+
+
 def test_quality(spark, docs, odd, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = quality.classify(table).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
@@ -504,16 +602,58 @@ def test_quality(spark, docs, odd, empty):
     assert quality.classify(odd).count() == len(ODD) and quality.classify(empty).count() == 0
 
 
+USER, BOT = ("user", "u"), ("assistant", "a")
+CHATS = [
+    ({"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]}, "messages", [USER, BOT]),
+    ({"messages": [{"role": "user", "content": "u", "name": "Ann"}, {"role": "assistant", "content": "a", "calls": [{"id": 1, "args": {"x": [1]}}]}], "id": 7, "source": {"url": "x"}}, "messages", [USER, BOT]),
+    ({"conversations": [{"from": "human", "value": "u"}, {"value": "a", "from": "gpt"}], "system": "s"}, "sharegpt", [USER, BOT]),
+    ({"turns": [{"role": "bot", "text": "a"}, {"role": "tool", "text": None}]}, "turns", [BOT, ("tool", "")]),
+    ({"prompt": "u", "completion": "a"}, "prompt", [USER, BOT]),
+    ({"id": "x", "prompt": "u", "completion": "a", "meta": {"score": 1}}, "prompt", [USER, BOT]),
+    ({"prompt": "u", "response": "a"}, "prompt_response", [USER, BOT]),
+    ({"instruction": "u", "output": "a"}, "instruction", [USER, BOT]),
+    ({"instruction": "u", "input": "x", "output": "a"}, "instruction_input", [("user", "u\n\nx"), BOT]),
+    ({"instruction": "u", "input": "", "output": "a"}, "instruction_input", [USER, BOT]),
+    ({"system": "s", "prompt": "u", "response": "a"}, "system_prompt", [("system", "s"), USER, BOT]),
+    ({"question": "u", "answer": "a", "prompt": None}, "question", [USER, BOT]),
+    ({"messages": []}, "no_messages", []),
+    ({"messages": ["u", "a"]}, None, []),
+    ({"foo": 1}, None, []),
+]
+
+
 def test_chat_layouts(spark):
     import json
 
-    chats = [{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]}, {"conversations": [{"from": "human", "value": "q"}, {"value": "a", "from": "gpt"}]}, {"prompt": "p", "completion": "c"}, {"instruction": "i", "input": "x", "output": "o"}, {"foo": 1}]
-    rows = spark.createDataFrame([(k, json.dumps(c)) for k, c in enumerate(chats)] + [(9, "no json"), (10, None)], "k int, record string")
-    got = {r["k"]: (r["layout"], [tuple(t) for t in r["turns"] or []]) for r in chat_format.from_json(rows).collect()}
-    assert got == {
-        0: ("messages", [("user", "hi"), ("assistant", "yo")]), 1: ("sharegpt", [("user", "q"), ("assistant", "a")]), 2: ("prompt", [("user", "p"), ("assistant", "c")]),
-        3: ("instruction_input", [("user", "i\n\nx"), ("assistant", "o")]), 4: (None, []), 9: (None, []), 10: (None, []),
-    }
+    rows = spark.createDataFrame([(k, json.dumps(c)) for k, (c, _, _) in enumerate(CHATS)] + [(90, "no json"), (91, None), (92, "[1]")], "k int, record string").withColumn("layout", F.lit("mine"))
+    got = {r["k"]: (r["layout"], [tuple(t) for t in r["turns"] or []], r["fingerprint"]) for r in chat_format.from_json(rows).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {k: (name, turns) for k, (_, name, turns) in enumerate(CHATS)} | {k: (None, []) for k in (90, 91, 92)}
+    assert got[0][2] == got[1][2] == chat_format.fingerprint(chat_format.LAYOUTS["messages"].fields) != got[14][2]
+
+
+def test_chat_tables_of_any_layout(spark):
+    """A table's columns select its mapping, whatever else it has; what no layout knows is an error."""
+    rows = [(5, 1, "user", "u", "extra"), (5, 2, "assistant", "a", "extra")]
+    by_row = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, source string")
+    pairs = spark.createDataFrame([("u", "a", 3)], "question string, answer string, score int")
+    nested = spark.createDataFrame([(5, [("user", "u", 1), ("assistant", "a", 2)])], "conv_id long, messages array<struct<role:string,content:string,n:int>>")
+    for table in (by_row, pairs, nested):
+        assert [[tuple(t) for t in r["turns"]] for r in chat_format.from_rows(table).collect()] == [[USER, BOT]]
+    with pytest.raises(ValueError):
+        chat_format.from_rows(spark.createDataFrame([(1,)], "a int"))
+
+
+def test_chat_query_goes_through_its_mapping(spark, monkeypatch):
+    """What the declaration of the row layout says is what the query's turns are."""
+    rows = spark.createDataFrame([(1, 0, "user", "u"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    plain = chat_format.digests(rows).first()
+    layout = chat_format.LAYOUTS["rows"]
+    monkeypatch.setitem(chat_format.LAYOUTS, "rows", layout._replace(turns=layout.turns.replace("r.text", "upper(r.text)")))
+    assert plain["turns_sha256"] == hashlib.sha256(b"user\nu\nassistant\na\n").hexdigest()
+    assert chat_format.digests(rows).first()["turns_sha256"] == hashlib.sha256(b"user\nU\nassistant\nA\n").hexdigest()
+    monkeypatch.delitem(chat_format.LAYOUTS, "rows")
+    with pytest.raises(ValueError):
+        chat_format.digests(rows)
 
 
 def test_chat_escapes_come_back(spark):

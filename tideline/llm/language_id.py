@@ -216,15 +216,14 @@ def _size(text: str) -> int:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Learn from rows (doc_id, text, lang). Of each language about TRAIN_ROWS rows are read, those of least hash, of each the first
-    TRAIN_LONGEST characters, and TRAIN_CHARS characters in all. Only languages of less than LEAST_CHARS are left out."""
-    labelled = labelled.where("lang is not null and text is not null").select("lang", "doc_id", F.substring("text", 1, TRAIN_LONGEST).alias("text"))
-    labelled = labelled.withColumn("h", F.xxhash64("doc_id"))
+    """Learn from rows (doc_id, text, lang). Of each language about TRAIN_ROWS different rows are read, those of least hash of id and text, of each
+    the first TRAIN_LONGEST characters, and TRAIN_CHARS characters in all. Only languages of less than LEAST_CHARS are left out."""
+    labelled = labelled.where("lang is not null and text is not null").select("lang", F.substring("text", 1, TRAIN_LONGEST).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
     count = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    keep = F.pmod("h", F.lit(1_000_003)) < (1 + 1_000_003 * F.least(F.lit(1.0), F.lit(TRAIN_ROWS) / F.col("n"))).cast("int")
-    before = Window.partitionBy("lang").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = labelled.join(F.broadcast(count), "lang").where(keep).withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
-    rows = rows.where(F.col("before") < TRAIN_CHARS).select("lang", "text", "h", "doc_id").toPandas().sort_values(["h", "doc_id", "text"])
+    rows = labelled.join(count, "lang").where(F.abs(F.col("h") / 2.0**63) < F.lit(TRAIN_ROWS) / F.col("n")).dropDuplicates(["lang", "h"])
+    before = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+    rows = rows.where(F.col("before") < TRAIN_CHARS).select("lang", "text", "h").toPandas().sort_values("h")
     training = {k: "\n".join(g["text"])[:TRAIN_CHARS] for k, g in rows.groupby("lang")}
     return Model({k: t for k, t in training.items() if _size(t) >= LEAST_CHARS}, even=False)
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, BooleanType, ByteType, DoubleType, Stru
 
 from .common import SPACE, WordHasher, groups_of, mix, stored, text_bytes, tidy, word_bounds
 
-#: The scorer learns from about so many documents at most, none longer than so many bytes.
+#: The scorer learns from so many different documents at most, none longer than so many bytes.
 TRAIN_ROWS, TRAIN_LONGEST = 4000, 60_000
 HASH_BITS, EPOCHS, RATE, DECAY = 18, 12, 0.5, 1e-6
 KEEP = 0.5
@@ -171,7 +171,7 @@ def classify(docs: DataFrame) -> DataFrame:
 
     Only doc_id and text are read. A null text counts as empty, an empty one is voted on like any other;
     repeated rows get equal results, null ids too. If there are no rows the model knows nothing and the result is
-    empty. The votes of all documents go into the estimate; the scorer learns from a sample by hash of the ids.
+    empty. The votes of all documents go into the estimate; the scorer learns from a sample of TRAIN_ROWS by hash of id and text.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -191,9 +191,10 @@ def classify(docs: DataFrame) -> DataFrame:
     _, table, post = estimate(patterns, counted["count"].to_numpy())
     n = max(1, int(counted["count"].sum()))
 
-    part = min(1.0, TRAIN_ROWS / n)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) < int(1 + part * 1_000_003)).where(F.octet_length("text") <= TRAIN_LONGEST)
-    sample = sample.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "text").toPandas()
+    # Rows are drawn by a hash of all they hold, so neither null nor repeated ids come in crowds; of rows that repeat one is drawn.
+    key = F.xxhash64(F.lit(5), "doc_id", "text")
+    sample = docs.withColumn("key_", key).where(F.abs(F.col("key_") / 2.0**63) < 1.2 * TRAIN_ROWS / n).where(F.octet_length("text") <= TRAIN_LONGEST)
+    sample = sample.dropDuplicates(["key_"]).orderBy("key_").limit(TRAIN_ROWS).toPandas()
     known = {tuple(p): y for p, y in zip(patterns.tolist(), post.tolist())}
     rows = []
     for data, _, bounds, h, v, again in _blocks(pa.array(sample["text"].tolist(), pa.string()), WordHasher()):
