@@ -1,34 +1,36 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
-Documents are cut into pieces of at most LENGTH tokens. Pieces sorted by length and gaps sorted by
-size are both kept as runs of equal ones: equal lengths are ranked over all data by a distributed
-count and rank, equal gaps are ranges of sequence numbers. A round takes the longest pieces not yet
-placed, sweeps to the successor gap (the smallest that holds them), matches pieces and gaps of the two
-runs by rank, moves the matched gaps to their new size and repeats with what the ranks left over; when no
-gap is large enough, new sequences are opened. As equal lengths and equal gaps are interchangeable, a
-round settles millions of pieces at once, and the sweep's state is bounded by LENGTH squared runs,
-whatever the input. Each piece then finds its place from (length, rank) by binary search.
+Documents are cut into pieces of at most LENGTH tokens. Pieces are ranked within their length and open sequences within
+the size of their gap, over all data. A round takes the pieces that are longer than PART of the longest that waits, sorts the runs
+of equal pieces and of equal gaps by size and sweeps from large to small: each run of pieces goes to its successor gap, the smallest that is left and holds them. Where pieces compete for a gap, those of
+lower rank get it, as many as it holds, and the others go to the next larger one; what finds none waits. Every open sequence then
+finds by its rank what it takes, and its gap shrinks. At the end of a round the longest pieces that took part and found nothing open new sequences, SHARE as
+many as all of those would fill, and the next round begins; when nothing waits, each piece fetches its place by
+length and rank. Only the runs, at most two for each size whatever the input, meet in one task.
 """
 
 from __future__ import annotations
 
-import bisect
+import math
 import zlib
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import stored, tidy
+from .common import free_name, stored, tidy
 from .tokens import default_path, encoder
 
 LENGTH = 2048
 END_ID = 0
-#: Ranks of equal lengths are counted in so many buckets of documents at least.
-BUCKETS = 64
+#: Pieces take part in a round from this share of the longest on, and open so many sequences of those that they would fill: more of the
+#: first and less of the second make more rounds and fuller sequences.
+PART, SHARE = 0.7, 0.9
+#: Ranks are counted in so many buckets of rows at least; so many sequences are opened by one row.
+BUCKETS, STRIDE = 64, 1 << 16
 ROWS = 2048
 
 
@@ -59,53 +61,109 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_i
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), StructType(schema))
 
 
-def sweep(counts: dict[int, int], length: int = LENGTH) -> tuple[np.ndarray, int]:
-    """Places of all pieces from how many there are of each length, and the number of sequences.
+def sweep(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int]], opened: int = 0, length: int = LENGTH, part: float = PART, share: float = SHARE) -> list[tuple]:
+    """One round over runs: pieces (length, first rank, how many) and gaps (size, how many, ranked from 0).
 
-    A row (length, first rank, sequence of it, offset): the pieces of that length with ranks from there
-    to the next row's go to consecutive sequences at that offset.
+    Rows (kind, length, rank, gap, at, many, each): `match`: the pieces from that rank on go to `many` gaps of that size, ranked from `at`, so many
+    pieces to each; `open`: to new sequences numbered from `at`; `wait`: so many pieces (each) wait for the next round.
     """
-    out: list[tuple[int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs of sequences (first, how many)
-    sizes: list[int] = []  # sizes that have runs, ascending
-    opened = 0
-
-    def leave(gap: int, run: tuple[int, int]) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append(run)
-
-    for size in sorted(counts, reverse=True):
-        left, rank = counts[size], 0
-        while left:
-            at = bisect.bisect_left(sizes, size)
-            gap = length if at == len(sizes) else sizes[at]
-            most = gap // size  # what is left of a gap is its pieces' next best fit, so each takes so many
-            if at == len(sizes):
-                n = -(-left // most)
-                runs = [(opened, n)]
-                opened += n
-            else:
-                runs = gaps[gap]
-            while runs and left:
-                first, n = runs.pop()
-                full = min(n, left // most)
-                if full:
-                    out += [(size, rank + k * full, first, length - gap + k * size) for k in range(most)]
-                    leave(gap - most * size, (first, full))
-                    rank, left, first, n = rank + full * most, left - full * most, first + full, n - full
-                if n and left:  # fewer than one gap takes
-                    out += [(size, rank + k, first, length - gap + k * size) for k in range(left)]
-                    leave(gap - left * size, (first, 1))
-                    rank, left, first, n = rank + left, 0, first + 1, n - 1
-                if n:
-                    runs.append((first, n))
-            if not runs and gaps.get(gap) is runs:
-                del gaps[gap]
-                sizes.remove(gap)
-    return np.array(out, np.int64).reshape(-1, 4), opened
+    least = part * max((size for size, _, _ in pieces), default=0)
+    by = {size: (first, n) for size, first, n in pieces if size > least}
+    held, out, wait = dict(gaps), [], []
+    stack: list[list[int]] = []  # gaps passed so far: size, first rank that is free, how many are
+    for size in sorted({*by, *held}, reverse=True):
+        if held.get(size):
+            stack.append([size, 0, held[size]])
+        rank, left = by.get(size, (0, 0))
+        while left and stack:
+            gap, at, n = stack[-1]
+            most = gap // size
+            full = min(n, left // most)
+            if full:
+                out.append(("match", size, rank, gap, at, full, most))
+            else:  # fewer than one gap takes
+                full, most = 1, left
+                out.append(("match", size, rank, gap, at, 1, left))
+            rank, left = rank + full * most, left - full * most
+            stack[-1] = [gap, at + full, n - full]
+            if full == n:
+                stack.pop()
+        if left:
+            wait.append((size, rank, left))
+    total = sum(size * n for size, _, n in wait)
+    # Longer ones than half a sequence share none, so all of them may open theirs.
+    room = max(math.ceil(share * total / length), sum(n for size, _, n in wait if 2 * size > length))
+    for size, rank, left in wait:
+        while left and room:
+            most = length // size
+            n, each = (min(room, left // most), most) if left >= most else (1, left)
+            out.append(("open", size, rank, length, opened, n, each))
+            opened, room, rank, left = opened + n, room - n, rank + n * each, left - n * each
+        if left:
+            out.append(("wait", size, rank, 0, 0, 0, left))
+    return out + [("wait", size, rank, 0, 0, 0, n) for size, rank, n in pieces if size <= least]
+
+
+ROUND = "kind string, length int, rank long, gap int, at long, many long, each long"
+
+
+def _ranked(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """df with `name`, the rank from 0 among rows of one key. A key may hold a third of all rows: ranks are counted within buckets, and
+    buckets within keys."""
+    n = max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucket, base, count = (free_name(x, df) for x in ("bucket_", "base_", "count_"))
+    salted = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    counts = salted.groupBy(key, bucket).agg(F.count("*").alias(count))
+    before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(key, bucket, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(base))
+    nth = F.row_number().over(Window.partitionBy(key, bucket).orderBy(*order))
+    out = salted.withColumn(name, nth).join(counts, [key, bucket])
+    return out.select(*df.columns, (F.col(name) - 1 + F.col(base)).cast("long").alias(name))
+
+
+def _many(rows: DataFrame, n: Column, name: str) -> DataFrame:
+    """rows as often as `n` says, numbered by `name` from 0: in two steps, so that no row becomes more than STRIDE at once."""
+    step = rows.withColumn("n_", n).withColumn("step_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_") - 1) / STRIDE))))
+    step = step.repartition(*[F.col(c) for c in rows.columns], "step_")
+    last = F.least(F.col("n_"), (F.col("step_") + 1) * STRIDE) - 1
+    return step.withColumn(name, F.explode(F.sequence(F.col("step_") * STRIDE, last))).drop("n_", "step_")
+
+
+def _rounds(counts: DataFrame, length: int) -> list[DataFrame]:
+    """Tables (length, rank, each, sequence_id, offset) of every round: `each` pieces from that rank on lie in a sequence from an offset on."""
+    spark = counts.sparkSession
+    waiting = counts.select("length", F.lit(0).cast("long").alias("rank"), F.col("n").alias("each"))
+    open_ = spark.createDataFrame([], "sequence_id long, gap int")
+    placed, opened = [], 0
+    while True:
+        runs = waiting.select(F.col("length").cast("int").alias("size"), "rank", F.col("each").alias("n"), F.lit(True).alias("piece"))
+        runs = runs.unionByName(open_.groupBy(F.col("gap").alias("size")).agg(F.count("*").alias("n")).select("size", F.lit(0).cast("long").alias("rank"), "n", F.lit(False).alias("piece")))
+        first = opened
+
+        def run(batches, first=first):
+            rows = pd.concat([*batches, pd.DataFrame(columns=["size", "rank", "n", "piece"])])
+            own = rows["piece"].astype(bool)
+            out = sweep(list(rows[own][["size", "rank", "n"]].itertuples(index=False, name=None)), list(rows[~own][["size", "n"]].itertuples(index=False, name=None)), first, length)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROUND.split(", ")])
+
+        # At most two runs for each size meet here.
+        now = stored(runs.repartition(1).sortWithinPartitions(F.desc("size")).mapInPandas(run, ROUND), "round")
+        kinds = {r["kind"]: r for r in now.groupBy("kind").agg(F.sum("many").alias("many"), F.count("*").alias("rows")).collect()}
+        if not {"match", "open"} & set(kinds):
+            return placed
+        # Sequences find what they take by the rank of their gap.
+        match = F.broadcast(now.where("kind = 'match'").select("gap", "length", "rank", "at", "many", "each"))
+        ranked = _ranked(open_, "gap", ["sequence_id"], "nth")
+        taken = ranked.join(match, (ranked["gap"] == match["gap"]) & (F.col("nth") >= F.col("at")) & (F.col("nth") < F.col("at") + F.col("many")), "left").drop(match["gap"])
+        taken = taken.select("sequence_id", "gap", "length", (F.col("rank") + (F.col("nth") - F.col("at")) * F.col("each")).alias("rank"), "each")
+        new = now.where("kind = 'open'")
+        new = _many(new.select("length", "rank", "at", "many", "each"), F.col("many"), "nth")
+        new = new.select((F.col("at") + F.col("nth")).alias("sequence_id"), F.lit(length).alias("gap"), "length", (F.col("rank") + F.col("nth") * F.col("each")).alias("rank"), "each")
+        after = stored(taken.unionByName(new), "sequences")
+        placed.append(after.where("each is not null").select("length", "rank", "each", "sequence_id", (F.lit(length) - F.col("gap")).cast("long").alias("offset")))
+        open_ = after.select("sequence_id", (F.col("gap") - F.coalesce(F.col("length") * F.col("each"), F.lit(0))).cast("int").alias("gap")).where("gap > 0")
+        opened += kinds["open"]["many"] if "open" in kinds else 0
+        waiting = now.where("kind = 'wait'").select("length", "rank", "each")
 
 
 def best_fit(parts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -113,37 +171,24 @@ def best_fit(parts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Sequences are filled without gaps from offset 0. Equal pieces are ranked by document, piece and then in
     any order, so ties and repeated rows get places of their own, whatever the partitions. An empty
-    table gives an empty one; other columns are carried along, those of the new names replaced.
+    table gives an empty one; other columns are carried along, whatever their names, but those of the new names replaced.
     `parts` is read twice; store it first if it is dear.
     """
-    spark = parts.sparkSession
     parts = parts.drop("sequence_id", "offset")
-    # One length may hold a third of all pieces: ranks are counted within buckets, buckets within lengths.
-    n = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = parts.withColumn("bucket_", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).cast("int"))
-    counts = stored(salted.groupBy("length", "bucket_").agg(F.count("*").alias("n_")), "lengths")
-    before = Window.partitionBy("length").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("base_", F.coalesce(F.sum("n_").over(before), F.lit(0)))
-    total = {r["length"]: r["n_"] for r in counts.groupBy("length").agg(F.sum("n_").alias("n_")).collect()}
-    places, _ = sweep(total, length)
-    places = places[np.lexsort((places[:, 1], places[:, 0]))]
-    shared = spark.sparkContext.broadcast(places)
-
-    ranked = salted.withColumn("rank_", F.row_number().over(Window.partitionBy("length", "bucket_").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(base.select("length", "bucket_", "base_"), ["length", "bucket_"]).withColumn("rank_", F.col("rank_") + F.col("base_"))
-    ranked = ranked.select(*parts.columns, F.col("rank_").cast("long").alias("rank_"))
-    size, rank = parts.columns.index("length"), len(parts.columns)
-
-    def run(batches):
-        p = shared.value
-        key = p[:, 0] << 48 | p[:, 1]
-        for batch in batches:
-            s, r = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (size, rank))
-            at = np.searchsorted(key, s << 48 | r, side="right") - 1
-            cols = [*batch.columns[:-1], pa.array(p[at, 2] + r - p[at, 1]), pa.array(p[at, 3])]
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "sequence_id", "offset"])
-
-    return ranked.mapInArrow(tidy(run), StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    counts = stored(parts.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    rounds = _rounds(counts, length)
+    if not rounds:
+        return parts.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    places = rounds[0]
+    for r in rounds[1:]:
+        places = places.unionByName(r)
+    rank = free_name("rank_", parts)
+    places = places.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1))).select(
+        F.col("length").alias("length_"), (F.col("rank") + F.col("nth")).alias("at_"), "sequence_id", (F.col("offset") + F.col("nth") * F.col("length")).alias("offset")
+    )
+    ranked = _ranked(parts, "length", ["doc_id", "piece"], rank).alias("p")
+    both = ranked.join(places.alias("q"), (F.col("p.length") == F.col("q.length_")) & (F.col(f"p.{rank}") == F.col("q.at_")))
+    return both.select(*[F.col(f"p.`{c}`") for c in parts.columns], "q.sequence_id", "q.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
