@@ -311,6 +311,24 @@ def test_huffman_round_trip(spark, docs, odd, empty):
     assert huffman.round_trip(empty).count() == 0
 
 
+def test_token_files_of_one_id_in_many_ranges(spark):
+    """Rows of one id, and equal rows, over several tasks: still in order of id and text."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one_id_in_many_ranges(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def one_id_in_many_ranges(spark):
+    rows = [(5, f"text {k % 50} " * 20) for k in range(600)] + [(4, None), (6, "last")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in huffman.round_trip(table).orderBy("start").collect()]
+    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+    assert got == [(d, len(ids) + 1, crc([*ids, 1])) for (d, _), ids in zip(want, library_ids([t for _, t in want]))]
+    assert huffman.encoded(table).select("part").distinct().count() > 2
+
+
 def test_code_lengths():
     rng = np.random.default_rng(0)
     for limit in (6, 8, 18):
@@ -342,16 +360,76 @@ def test_packing(spark, docs, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_sweep_is_best_fit():
-    rng = np.random.default_rng(5)
-    counts = Counter(rng.integers(1, 65, 500).tolist())
+def best_fit_decreasing(sizes, length):
+    """How many sequences a plain best fit needs, piece by piece, longest first."""
     gaps = []
-    for size in sorted(counts.elements(), reverse=True):
+    for size in sorted(sizes, reverse=True):
         fit = min((g for g in gaps if g >= size), default=None)
         if fit is not None:
             gaps.remove(fit)
-        gaps.append((64 if fit is None else fit) - size)
-    assert packing.sweep(counts, 64)[1] == len(gaps)
+        gaps.append((length if fit is None else fit) - size)
+    return len(gaps)
+
+
+def by_rounds(sizes, length):
+    """The rounds over plain lists: every sequence's pieces."""
+    waiting, bins, rounds = [(s, 0, n) for s, n in Counter(sizes).items()], [], 0
+    left = Counter(sizes)
+    while waiting:
+        gaps = defaultdict(list)
+        for k, b in enumerate(bins):
+            if sum(b) < length:
+                gaps[length - sum(b)].append(k)
+        rows = packing.sweep(waiting, [(g, len(k)) for g, k in gaps.items()], len(bins), length)
+        seen = Counter()
+        for kind, size, _, gap, at, many, each in rows:
+            if kind == "open":
+                assert at == len(bins)
+                bins += [[size] * each for _ in range(many)]
+            elif kind == "match":
+                assert each * size <= gap and not seen[gap, size] and at + many <= len(gaps[gap])
+                for k in gaps[gap][at : at + many]:
+                    assert length - sum(bins[k]) == gap
+                    bins[k] += [size] * each
+        waiting, rounds = [(size, rank, each) for kind, size, rank, _, _, _, each in rows if kind == "wait"], rounds + 1
+    assert Counter(x for b in bins for x in b) == left and all(sum(b) <= length for b in bins)
+    return len(bins), rounds
+
+
+def test_rounds_come_near_a_plain_best_fit():
+    rng = np.random.default_rng(5)
+    for top, n in ((65, 500), (20, 2000), (33, 300), (65, 1), (2, 700)):
+        sizes = rng.integers(1, top, n).tolist()
+        plain, (bins, rounds) = best_fit_decreasing(sizes, 64), by_rounds(sizes, 64)
+        assert bins <= max(plain + 1, 1.02 * plain) and rounds <= 30
+
+
+def test_successors_are_matched_by_rank():
+    """Pieces that compete for a gap get it by rank; the others go to the next larger one, and what finds none waits or opens."""
+    rows = packing.sweep([(30, 0, 3), (10, 5, 4), (64, 0, 1)], [(31, 1), (40, 1), (10, 2)], 7, 64, part=0, share=0)
+    assert rows == [("match", 30, 0, 31, 0, 1, 1), ("match", 30, 1, 40, 0, 1, 1), ("match", 10, 5, 10, 0, 2, 1), ("open", 64, 0, 64, 7, 1, 1), ("wait", 30, 2, 0, 0, 0, 1), ("wait", 10, 7, 0, 0, 0, 2)]
+    rows = packing.sweep([(30, 0, 3), (10, 5, 4)], [(31, 1)], 0, 64, part=0.5, share=0)
+    assert rows == [("match", 30, 0, 31, 0, 1, 1), ("wait", 30, 1, 0, 0, 0, 2), ("wait", 10, 5, 0, 0, 0, 4)]
+
+
+def test_packing_in_rounds(spark):
+    """Places of many pieces in many rounds, with columns named like the operator's own."""
+    rng = np.random.default_rng(9)
+    sizes = [*rng.integers(1, 700, 1500).tolist(), *[9] * 800, *[64] * 40]
+    parts = spark.createDataFrame([(k % 900, 0, n, 1, 2, 3, 4) for k, n in enumerate(sizes)], "doc_id long, piece int, length int, bucket_ int, rank_ int, base_ int, n_ int")
+    got = packing.best_fit(parts, 2048)
+    assert got.columns == [*parts.columns, "sequence_id", "offset"]
+    bins = defaultdict(list)
+    for r in got.collect():
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert (r["bucket_"], r["rank_"], r["base_"], r["n_"]) == (1, 2, 3, 4)
+    for b in bins.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert sorted(n for b in bins.values() for _, n in b) == sorted(sizes) and len(bins) <= 1.02 * best_fit_decreasing(sizes, 2048) + 1
 
 
 def test_targets_of_many_sources(spark):

@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_stored, stored, work_dir
+from .common import drop_stored, slices, stored, tidy, work_dir
 from .tokens import default_path, encoder
 
 LIMIT = 18
 BLOCK = 1 << 16
 STEP = 256
 END_ID = 1
-ROWS = 2048
+#: Bytes of texts that are encoded at once.
+SLICE = 2 << 20
 
 # ---------------------------------------------------------------- the code
 
@@ -142,8 +143,7 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
             return pa.RecordBatch.from_arrays(arrays, ["part", "block", "doc_ids", "sizes", "ids"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                some = batch.slice(k, ROWS)
+            for some in slices(batch, 1, SLICE):
                 for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     docs_.append(doc)
                     sizes.append(len(ids) + 1)
@@ -155,8 +155,10 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
         if docs_:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part long, block long, doc_ids array<bigint>, sizes array<bigint>, ids binary")
+    # Where one id, or one text of it, has very many rows, ranges cut through them; the beginning of a text orders as the text does.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 64), F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "text")
+    return ordered.mapInArrow(tidy(run), "part long, block long, doc_ids array<bigint>, sizes array<bigint>, ids binary")
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
@@ -180,7 +182,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
     # One row for each id of the vocabulary, so the table is small whatever the input.
-    counted = blocks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = blocks.select("ids").mapInArrow(tidy(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, np.int64)
     counts[counted["id"]] = counted["n"]
     lengths = code_lengths(counts)
@@ -195,7 +197,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(s), int(lengths[s])) for s in used], "id long, bits long").coalesce(1).write.parquet(f"{folder}/book")
-    blocks.mapInArrow(compress, "part long, block long, doc_ids array<bigint>, sizes array<bigint>, bits binary, marks array<bigint>").write.parquet(f"{folder}/blocks")
+    blocks.mapInArrow(tidy(compress), "part long, block long, doc_ids array<bigint>, sizes array<bigint>, bits binary, marks array<bigint>").write.parquet(f"{folder}/blocks")
     drop_stored(blocks)
 
 
@@ -228,7 +230,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
                 cols += [pa.array(own, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(cols, ["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    rows = blocks.mapInArrow(decode, "part long, block long, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    rows = blocks.mapInArrow(tidy(decode), "part long, block long, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     return rows.join(begins, ["part", "block"]).select("doc_id", (F.col("begin") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
