@@ -555,7 +555,9 @@ def test_near_duplicates(spark):
     base = rng.standard_normal((400, 16))
     x = np.concatenate([base, base[:60] + 0.05 * rng.standard_normal((60, 16)), np.repeat(base[:1], 40, axis=0), base[1] + 0.1 * rng.standard_normal((300, 16))])
     rows = [(k, v.tolist(), 0, "s") for k, v in enumerate(x.astype(np.float32).astype(float))]
-    got = {r["vec_id"]: r for r in hnsw_dedup.near_duplicates(spark.createDataFrame(rows, VECS), shards=3).collect()}
+    out = hnsw_dedup.near_duplicates(spark.createDataFrame(rows, VECS), shards=3)
+    got = {r["vec_id"]: r for r in out.collect()}
+    assert out._recall >= 0.995
     y = x.astype(np.float32).astype(float)
     y /= np.sqrt((y * y).sum(axis=1))[:, None]
     links = y @ y.T >= 0.9

@@ -12,6 +12,8 @@ precision; each task sends on a spanning forest of its links, whose union gives
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +23,7 @@ from .common import drop_stored, stored
 from .components import components
 from .vectors import matrix, norms, safe, usable, with_rows
 
+log = logging.getLogger(__name__)
 SIMILAR = 0.9
 DEGREE, BUILD_BEAM, BATCH = 12, 32, 512
 BEAM, WIDEST, AUDIT, AUDIT_LINKS, SAMPLE = 24, 192, 0.995, 1000, 64
@@ -180,7 +183,7 @@ def exact(x: np.ndarray, nx: np.ndarray, q: np.ndarray, nq: np.ndarray, similar:
 
 
 def audit(x: np.ndarray, nx: np.ndarray, q: np.ndarray, nq: np.ndarray, similar: float, own: np.ndarray, asked: np.ndarray, known: np.ndarray):
-    """Whether `known` (query * nodes + node) has enough links of the queries `asked`; the queries scanned, and all their links."""
+    """Whether `known` (query * nodes + node) has enough links of the queries `asked`; the queries scanned, all their links, and (true, found) links."""
     need = got = at = 0
     size, truth = SAMPLE, []
     while at < len(asked) and need < AUDIT_LINKS:
@@ -192,11 +195,12 @@ def audit(x: np.ndarray, nx: np.ndarray, q: np.ndarray, nq: np.ndarray, similar:
         need += len(pairs)
         got += int(np.isin(pairs, known).sum())
         at, size = at + len(part), size * 2
-    return got >= AUDIT * need, asked[:at], truth
+    return got >= AUDIT * need, asked[:at], truth, (need, got)
 
 
-def links_of(graph: Graph, x: np.ndarray, nx: np.ndarray, q: np.ndarray, nq: np.ndarray, similar: float, own: np.ndarray | None = None):
-    """(query, node) of verified links of every query with the shard. `own` has each query's own node or -1: finding it is no merit."""
+def links_of(graph: Graph, x: np.ndarray, nx: np.ndarray, q: np.ndarray, nq: np.ndarray, similar: float, own: np.ndarray | None = None, seen: list | None = None):
+    """(query, node) of verified links of every query with the shard. `own` has each query's own node or -1: finding it is no merit.
+    `seen` gets the (true, found) links of each audit that was passed."""
     qf = (q / nq[:, None]).astype(np.float32)
     own = np.full(len(q), -1) if own is None else own
     rng = np.random.default_rng(len(q))
@@ -213,10 +217,12 @@ def links_of(graph: Graph, x: np.ndarray, nx: np.ndarray, q: np.ndarray, nq: np.
             i, j = np.nonzero(hit & ~full[k : k + BATCH, None])
             hits.append((part[i], ids[i, j]))
         i, j = (np.concatenate(c) for c in zip(*hits))
-        good, scanned, truth = audit(x, nx, q, nq, similar, own, rng.permutation(wanted[~full]), i.astype(np.int64) * len(x) + j)
+        good, scanned, truth, counted = audit(x, nx, q, nq, similar, own, rng.permutation(wanted[~full]), i.astype(np.int64) * len(x) + j)
         found += truth
         if good:
             found.append((i, j))
+            if seen is not None:
+                seen.append(counted)
         wanted = wanted[full] if good else wanted[~np.isin(wanted, scanned)]
         beam *= 2
     if len(wanted):
@@ -257,7 +263,7 @@ def near_duplicates(table: DataFrame, similar: float = SIMILAR, shards: int | No
     Links hold between vectors of one dimension with a cosine of at least `similar`. What isn't usable (see
     usable()) links with nothing. Rows that repeat an id are vectors of their own: they link by their cosine, not by the id,
     and count as links. Rows with null ids are left out. Other columns are ignored. An empty
-    table gives an empty one. Labels play no part.
+    table gives an empty one. Labels play no part. The recall of all audits that were passed, over all tasks, is logged, and is `_recall` of the result.
     """
     every = with_rows(table)
     rows = usable(every).withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(7), "embedding")})
@@ -286,6 +292,7 @@ def near_duplicates(table: DataFrame, similar: float = SIMILAR, shards: int | No
 
     def ask(g: pa.Table, q: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
+        seen: list[tuple[int, int]] = []
         if g.num_rows and q.num_rows:
             dim = g.column("dim")[0].as_py()
             row = {c: g.column(c)[0].as_py() for c in ("nodes", "weights", "x", "links")}
@@ -300,13 +307,16 @@ def near_duplicates(table: DataFrame, similar: float = SIMILAR, shards: int | No
             own = q.column("node").to_numpy()
             order = np.argsort(ids)
             at = order[np.minimum(np.searchsorted(ids, own, sorter=order), len(ids) - 1)]
-            i, j = links_of(graph, x, nx, v, norms(v), similar, np.where(ids[at] == own, at, -1))
+            i, j = links_of(graph, x, nx, v, norms(v), similar, np.where(ids[at] == own, at, -1), seen)
             other = own[i] != ids[j]
             i, j = i[other], j[other]
             total = np.bincount(i, weights[j], len(own)).astype(np.int64)
             some = np.flatnonzero(total)
             edges = forest(own[i], ids[j])
             out = [[*own[some].tolist(), *[a for a, _ in edges]], [*[None] * len(some), *[b for _, b in edges]], [*total[some].tolist(), *[None] * len(edges)]]
+        # What audits have seen: a row without a node, with the true links and those found.
+        for column, value in zip(out, (None, sum(n for n, _ in seen), sum(n for _, n in seen))):
+            column.append(value)
         return pa.table([pa.array(c, pa.int64()) for c in out], ["node", "other", "links"])
 
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
@@ -314,14 +324,19 @@ def near_duplicates(table: DataFrame, similar: float = SIMILAR, shards: int | No
     right = vec.select("node", "dim", "embedding", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", spread(s))
     keys = ["dim", "shard", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(ask, "node long, other long, links long")
-    found = stored(found, "links")
+    found = answers = stored(found, "links")
+    true, got = found.where("node is null").agg(F.sum("other"), F.sum("links")).first()
+    log.info("recall of audited beams: %s of %s links", got or 0, true or 0)
+    found = found.where("node is not null")
     count = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     label = components(found.where("other is not null"), "node", "other").withColumnRenamed("id", "node")
     nodes = nodes.join(count, "node", "left").join(label, "node", "left").withColumn("group_", F.coalesce("component", "node"))
     nodes = stored(nodes.withColumn("links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1).drop("component"), "labels")
     least = nodes.groupBy("group_").agg(F.min("least").alias("component_id"))
     linked = rows.select("row_", *key).join(nodes, key).join(least, "group_").select("row_", "links", "component_id")
-    drop_stored(graphs, vec, found)
+    drop_stored(graphs, vec, answers)
     out = every.where("vec_id is not null").select("row_", F.col("vec_id").cast("long").alias("vec_id")).join(linked, "row_", "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out._recall = (got or 0) / true if true else 1.0
+    return out
