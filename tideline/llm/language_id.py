@@ -220,7 +220,8 @@ def fit(labelled: DataFrame) -> Model:
     the first TRAIN_LONGEST characters, and TRAIN_CHARS characters in all. Only languages of less than LEAST_CHARS are left out."""
     labelled = labelled.where("lang is not null and text is not null").select("lang", F.substring("text", 1, TRAIN_LONGEST).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
     count = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    rows = labelled.join(count, "lang").where(F.abs(F.col("h") / 2.0**63) < F.lit(TRAIN_ROWS) / F.col("n")).dropDuplicates(["lang", "h"])
+    # One row for each language, of each of which the model is to hold a whole automaton.
+    rows = labelled.join(F.broadcast(count), "lang").where(F.abs(F.col("h") / 2.0**63) < F.lit(TRAIN_ROWS) / F.col("n")).dropDuplicates(["lang", "h"])
     before = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
     rows = rows.where(F.col("before") < TRAIN_CHARS).select("lang", "text", "h").toPandas().sort_values("h")
