@@ -308,13 +308,18 @@ def jaccard_join(docs: DataFrame, tile: int = TILE) -> DataFrame:
     # Second round: what still lies in different components.
     far = lists.join(label.withColumnRenamed("id", "node"), "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"))
     far = stored(far, "far")
-    open_ = far.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("length")).where("low < high").select("sig", "length")
+    member = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"x{seed}") for seed in (1, 2)]
+    open_ = far.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("length"), *member).where("low < high")
+    # Lists with the same members (texts that share a passage have one for each of its shingles) give the same pairs. Of these the one
+    # of least signature is the first for every member, so it alone finds all.
+    alike = ["length", "x1", "x2", F.col("sig") < 0]
+    open_ = open_.select("sig", "length", (F.col("sig") == F.min("sig").over(Window.partitionBy(*alike))).alias("first"))
     # A pair needs c_min common lists; of each side's lists, rarest first, one of the first (all - c_min + 1) is common.
     own = Window.partitionBy("node").orderBy("length", "sig")
-    listed = far.join(open_, "sig").withColumns({"k": F.row_number().over(own), "m": F.count("*").over(Window.partitionBy("node"))})
-    pairs = tiles(listed, tile).mapInArrow(tidy(paired(x)), "a long, b long").distinct()
-    pairs = pairs.join(first._pairs, ["a", "b"], "left_anti")
-    second = verified(pairs, docs, nodes)
+    listed = far.join(open_, "sig").withColumns({"k": F.row_number().over(own), "m": F.count("*").over(Window.partitionBy("node"))}).where("first")
+    pairs = stored(tiles(listed, tile).mapInArrow(tidy(paired(x)), "a long, b long").distinct(), "candidates")
+    second = verified(pairs.join(first._pairs, ["a", "b"], "left_anti"), docs, nodes)
+    drop_stored(pairs)
     out = stored(components(first.unionByName(second)), "labels")
     drop_stored(lists, far, label, nodes, first._pairs, first, second._pairs, second)
     return members.join(out.withColumnRenamed("id", "node"), "node", "left").select(
