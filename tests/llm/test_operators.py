@@ -171,12 +171,7 @@ def test_cross_parsing_equals_a_plain_parse():
         codes = bytes(language_id.encode(text, m.code))
         for k, lang in enumerate(m.languages):
             source = bytes(language_id.encode(train[lang], m.code))[:least]
-            n = at = 0
-            while at < len(codes):
-                size = 1
-                while at + size < len(codes) and codes[at : at + size + 1] in source:
-                    size += 1
-                at, n = at + size, n + 1
+            n = plain_phrases(codes, source)
             first = 0 if codes[:1] in source else 1
             assert abs(m.phrases([np.frombuffer(codes, np.uint8)])[0, k] - n) <= first
 
@@ -340,23 +335,7 @@ def test_code_lengths():
 
 def test_packing(spark, docs, odd, empty):
     for table in (docs, odd):
-        rows = table.select("doc_id", "text").collect()
-        want = Counter()
-        for r, ids in zip(rows, library_ids([r["text"] for r in rows])):
-            ids = [*ids, 0]
-            want.update((r["doc_id"], p, a, len(ids[a : a + 2048]), crc(ids[a : a + 2048])) for p, a in enumerate(range(0, len(ids), 2048)))
-        got = packing.pack(table).collect()
-        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
-        bins = defaultdict(list)
-        for r in got:
-            bins[r["sequence_id"]].append((r["offset"], r["length"]))
-        for b in bins.values():
-            at = 0
-            for offset, n in sorted(b):
-                assert offset == at
-                at += n
-            assert at <= 2048
-        assert len(bins) <= 1.1 * sum(k[3] * n for k, n in want.items()) / 2048 + 1
+        check_packed([(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()], packing.pack(table).collect())
     assert packing.pack(empty).count() == 0
 
 
@@ -757,20 +736,74 @@ def test_near_duplicates_keep_one_row_of_each_group(spark, empty):
     assert corpus_pipeline.near_duplicates(spark, empty, SF).count() == 0
 
 
+def plain_phrases(text, source):
+    """How many longest phrases of `source` a text is cut into."""
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in source:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+def check_packed(rows, pieces, length=2048):
+    """Whether pieces are those of the library's ids of rows (doc_id, text), and lie without gaps in sequences."""
+    want = Counter()
+    for (doc, _), ids in zip(rows, library_ids([t for _, t in rows])):
+        ids = [*ids, 0]
+        want.update((doc, p, a, len(ids[a : a + length]), crc(ids[a : a + length])) for p, a in enumerate(range(0, len(ids), length)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces) == want
+    bins = defaultdict(list)
+    for r in pieces:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= length
+    assert len(bins) <= 1.02 * best_fit_decreasing([n for b in bins.values() for _, n in b], length) + 1
+
+
 def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "12 34", "en", "x", 5)], "doc_id long, text string, lang string, source string, n_chars long"))
+    """Every stage against a plain version of it, on what the stage before has kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "12 34", "en", "x", 5), (10**6 + 2, "\u0436\u0448\u0447 " * 90, None, "x", 360)], "doc_id long, text string, lang string, source string, n_chars long"))
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, common.stored(stage(spark, docs, SF), name)
+        old, new = before.collect(), docs.collect()
         if name != "packing":
             assert docs.columns == corpus_pipeline.COLUMNS
         if name == "language_id":
-            assert {r[0] for r in before.select("doc_id").collect()} - {r[0] for r in docs.select("doc_id").collect()} == {10**6, 10**6 + 1}
+            training = {}
+            plain = language_id.Model
+            language_id.Model = lambda t, even=True: training.update(t) or plain(t, even)
+            try:
+                m = language_id.fit(before.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2))
+            finally:
+                language_id.Model = plain
+            source = {k: "".join(map(chr, language_id.encode(training[k], m.code))) for k in m.languages}
+            kept = {r["doc_id"]: r["lang"] for r in new}
+            assert {r["doc_id"] for r in old} - set(kept) == {10**6, 10**6 + 1, 10**6 + 2}
+            for r in [r for r in old if r["doc_id"] in kept and 200 < len(r["text"]) < 2000][:40]:
+                text = "".join(map(chr, language_id.encode(r["text"], m.code)))
+                cost = {k: plain_phrases(text, source[k]) * np.log2(len(source[k])) for k in m.languages}
+                assert kept[r["doc_id"]] == min(cost, key=cost.get) and min(cost.values()) / len(text) <= language_id.MOST_BITS
         if name == "ngram_jaccard":
-            want = {d for d, (_, c) in brute_jaccard([(r["doc_id"], r["text"]) for r in before.collect()]).items() if c == d}
-            assert {r["doc_id"] for r in docs.collect()} == want
+            want = {d for d, (_, c) in brute_jaccard([(r["doc_id"], r["text"]) for r in old]).items() if c == d}
+            assert {r["doc_id"] for r in new} == want and all(r in old for r in new)
         if name == "pii":
-            assert docs.count() == before.count() and not any(brute_pii(r["text"]) for r in docs.collect())
+            assert len(new) == len(old) and not any(brute_pii(r["text"]) for r in new) and all(r["n_chars"] == len(r["text"]) for r in new)
+            texts = {r["doc_id"]: r["text"] for r in new}
+            assert all(texts[r["doc_id"]] == r["text"] for r in old if not brute_pii(r["text"]) and "[SECRET]" not in texts[r["doc_id"]])
         if name == "mixing":
-            assert 1 <= docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+            size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+            sums, taken, times = Counter(), Counter(), Counter(r["doc_id"] for r in new)
+            for r in old:
+                sums[r["source"]] += size(r["text"])
+            for r in new:
+                taken[r["source"]] += size(r["text"])
+            assert all(r in old for r in new) and max(times.values()) <= 2
+            assert all(abs(taken[s] - t) <= max(60, 0.05 * t) for s, t in brute_targets(sums).items())
         if name == "packing":
-            assert docs.where("piece = 0").count() == before.count()
+            check_packed([(r["doc_id"], r["text"]) for r in old], new)
