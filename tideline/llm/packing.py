@@ -6,29 +6,29 @@ of equal pieces and of equal gaps by size and sweeps from large to small: each r
 lower rank get it, as many as it holds, and the others go to the next larger one; what finds none waits. Every open sequence then
 finds by its rank what it takes, and its gap shrinks. At the end of a round the longest pieces that took part and found nothing open new sequences, SHARE as
 many as all of those would fill, and the next round begins; when nothing waits, each piece fetches its place by
-length and rank. Only the runs, at most two for each size whatever the input, meet in one task.
+length and rank. Only the runs, at most two for each size whatever the input, meet in one place: the driver sweeps them.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import free_name, stored, tidy
+from .common import free_name, stored, tidy, work_dir
 from .tokens import default_path, encoder
 
 LENGTH = 2048
 END_ID = 0
 #: Pieces take part in a round from this share of the longest on, and open so many sequences of those that they would fill: more of the
 #: first and less of the second make more rounds and fuller sequences.
-PART, SHARE = 0.7, 0.9
+PART, SHARE = 0.6, 0.8
 #: Ranks are counted in so many buckets of rows at least; so many sequences are opened by one row.
 BUCKETS, STRIDE = 64, 1 << 16
 ROWS = 2048
@@ -104,7 +104,7 @@ def sweep(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int]], opene
     return out + [("wait", size, rank, 0, 0, 0, n) for size, rank, n in pieces if size <= least]
 
 
-ROUND = "kind string, length int, rank long, gap int, at long, many long, each long"
+ROUND = "length int, rank long, gap int, at long, many long, each long"
 
 
 def _ranked(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
@@ -121,49 +121,53 @@ def _ranked(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     return out.select(*df.columns, (F.col(name) - 1 + F.col(base)).cast("long").alias(name))
 
 
-def _many(rows: DataFrame, n: Column, name: str) -> DataFrame:
-    """rows as often as `n` says, numbered by `name` from 0: in two steps, so that no row becomes more than STRIDE at once."""
-    step = rows.withColumn("n_", n).withColumn("step_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_") - 1) / STRIDE))))
-    step = step.repartition(*[F.col(c) for c in rows.columns], "step_")
-    last = F.least(F.col("n_"), (F.col("step_") + 1) * STRIDE) - 1
-    return step.withColumn(name, F.explode(F.sequence(F.col("step_") * STRIDE, last))).drop("n_", "step_")
+def _many(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """rows as often as their `many` says, at most `most`, numbered by `name` from 0; in two steps where a row would become more than STRIDE at once."""
+    zero, n = F.lit(0).cast("long"), F.col("many")
+    if most <= STRIDE:
+        return rows.withColumn(name, F.explode(F.sequence(zero, n - 1)))
+    step = rows.withColumn("step_", F.explode(F.sequence(zero, F.floor((n - 1) / STRIDE)))).repartition("at", "step_")
+    return step.withColumn(name, F.explode(F.sequence(F.col("step_") * STRIDE, F.least(n, (F.col("step_") + 1) * STRIDE) - 1))).drop("step_")
 
 
-def _rounds(counts: DataFrame, length: int) -> list[DataFrame]:
-    """Tables (length, rank, each, sequence_id, offset) of every round: `each` pieces from that rank on lie in a sequence from an offset on."""
+def _rounds(counts: DataFrame, length: int) -> DataFrame | None:
+    """(length, rank, each, sequence_id, offset): `each` pieces from that rank on lie in a sequence from an offset on. None where there are no pieces.
+
+    Each round writes what its sequences took to a folder of its own; the sweep's rows, a few for each size, are known to the driver.
+    """
     spark = counts.sparkSession
-    waiting = counts.select("length", F.lit(0).cast("long").alias("rank"), F.col("n").alias("each"))
-    open_ = spark.createDataFrame([], "sequence_id long, gap int")
-    placed, opened = [], 0
-    while True:
-        runs = waiting.select(F.col("length").cast("int").alias("size"), "rank", F.col("each").alias("n"), F.lit(True).alias("piece"))
-        runs = runs.unionByName(open_.groupBy(F.col("gap").alias("size")).agg(F.count("*").alias("n")).select("size", F.lit(0).cast("long").alias("rank"), "n", F.lit(False).alias("piece")))
-        first = opened
-
-        def run(batches, first=first):
-            rows = pd.concat([*batches, pd.DataFrame(columns=["size", "rank", "n", "piece"])])
-            own = rows["piece"].astype(bool)
-            out = sweep(list(rows[own][["size", "rank", "n"]].itertuples(index=False, name=None)), list(rows[~own][["size", "n"]].itertuples(index=False, name=None)), first, length)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROUND.split(", ")])
-
-        # At most two runs for each size meet here.
-        now = stored(runs.repartition(1).sortWithinPartitions(F.desc("size")).mapInPandas(run, ROUND), "round")
-        kinds = {r["kind"]: r for r in now.groupBy("kind").agg(F.sum("many").alias("many"), F.count("*").alias("rows")).collect()}
-        if not {"match", "open"} & set(kinds):
-            return placed
-        # Sequences find what they take by the rank of their gap.
-        match = F.broadcast(now.where("kind = 'match'").select("gap", "length", "rank", "at", "many", "each"))
-        ranked = _ranked(open_, "gap", ["sequence_id"], "nth")
-        taken = ranked.join(match, (ranked["gap"] == match["gap"]) & (F.col("nth") >= F.col("at")) & (F.col("nth") < F.col("at") + F.col("many")), "left").drop(match["gap"])
-        taken = taken.select("sequence_id", "gap", "length", (F.col("rank") + (F.col("nth") - F.col("at")) * F.col("each")).alias("rank"), "each")
-        new = now.where("kind = 'open'")
-        new = _many(new.select("length", "rank", "at", "many", "each"), F.col("many"), "nth")
-        new = new.select((F.col("at") + F.col("nth")).alias("sequence_id"), F.lit(length).alias("gap"), "length", (F.col("rank") + F.col("nth") * F.col("each")).alias("rank"), "each")
-        after = stored(taken.unionByName(new), "sequences")
-        placed.append(after.where("each is not null").select("length", "rank", "each", "sequence_id", (F.lit(length) - F.col("gap")).cast("long").alias("offset")))
-        open_ = after.select("sequence_id", (F.col("gap") - F.coalesce(F.col("length") * F.col("each"), F.lit(0))).cast("int").alias("gap")).where("gap > 0")
-        opened += kinds["open"]["many"] if "open" in kinds else 0
-        waiting = now.where("kind = 'wait'").select("length", "rank", "each")
+    path = f"{work_dir(spark)}/sequences-{uuid.uuid4().hex}"
+    schema = "sequence_id long, gap int, length int, rank long, each long"
+    waiting = [(r["length"], 0, r["n"]) for r in counts.collect()]  # one row for each length
+    opened = k = 0
+    while waiting:
+        open_ = None
+        if k:
+            open_ = spark.read.schema(schema).parquet(f"{path}/round={k - 1}")
+            open_ = open_.select("sequence_id", (F.col("gap") - F.coalesce(F.col("length") * F.col("each"), F.lit(0))).cast("int").alias("gap")).where("gap > 0")
+        gaps = [(r["gap"], r["n"]) for r in open_.groupBy("gap").agg(F.count("*").alias("n")).collect()] if k else []  # one row for each size
+        now = sweep(waiting, gaps, opened, length)
+        of = lambda kind: [r[1:] for r in now if r[0] == kind]
+        new = spark.createDataFrame(of("open"), ROUND)
+        after = _many(new, max((r[4] for r in of("open")), default=0), "nth")
+        after = after.select((F.col("at") + F.col("nth")).alias("sequence_id"), F.lit(length).alias("gap"), "length", (F.col("rank") + F.col("nth") * F.col("each")).alias("rank"), "each")
+        if gaps and of("match"):
+            # Sequences find what they take by the rank of their gap.
+            match = F.broadcast(spark.createDataFrame(of("match"), ROUND).withColumnRenamed("gap", "gap_"))
+            ranked = _ranked(open_, "gap", ["sequence_id"], "nth")
+            taken = ranked.join(match, (F.col("gap") == F.col("gap_")) & (F.col("nth") >= F.col("at")) & (F.col("nth") < F.col("at") + F.col("many")), "left")
+            after = after.unionByName(taken.select("sequence_id", "gap", "length", (F.col("rank") + (F.col("nth") - F.col("at")) * F.col("each")).alias("rank"), "each"))
+        elif gaps:
+            nothing = [F.lit(None).cast(t).alias(c) for c, t in (("length", "int"), ("rank", "long"), ("each", "long"))]
+            after = after.unionByName(open_.select("sequence_id", "gap", *nothing))
+        after.write.parquet(f"{path}/round={k}")
+        opened += sum(r[4] for r in of("open"))
+        waiting = [(size, rank, each) for size, rank, *_, each in of("wait")]
+        k += 1
+    if not k:
+        return None
+    placed = spark.read.schema(f"{schema}, round int").parquet(path).where("each is not null")
+    return placed.select("length", "rank", "each", "sequence_id", (F.lit(length) - F.col("gap")).cast("long").alias("offset"))
 
 
 def best_fit(parts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -176,12 +180,9 @@ def best_fit(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     parts = parts.drop("sequence_id", "offset")
     counts = stored(parts.groupBy("length").agg(F.count("*").alias("n")), "lengths")
-    rounds = _rounds(counts, length)
-    if not rounds:
+    places = _rounds(counts, length)
+    if places is None:
         return parts.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    places = rounds[0]
-    for r in rounds[1:]:
-        places = places.unionByName(r)
     rank = free_name("rank_", parts)
     places = places.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1))).select(
         F.col("length").alias("length_"), (F.col("rank") + F.col("nth")).alias("at_"), "sequence_id", (F.col("offset") + F.col("nth") * F.col("length")).alias("offset")
