@@ -29,6 +29,8 @@ STEP = 256
 END_ID = 1
 #: Bytes of texts that are encoded at once.
 SLICE = 2 << 20
+#: Blocks that are compressed before they are handed on.
+AT_ONCE = 16
 
 # ---------------------------------------------------------------- the code
 
@@ -191,9 +193,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     def compress(batches):
         lens, codes = book.value
         for batch in batches:
-            rows = [pack_bits(np.frombuffer(ids.as_buffer(), "<u4").astype(np.int64), lens, codes) for ids in batch.column(4)]
-            cols = [*batch.columns[:4], pa.array([b for b, _ in rows], pa.binary()), pa.array([m for _, m in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["part", "block", "doc_ids", "sizes", "bits", "marks"])
+            for k in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(k, AT_ONCE)
+                rows = [pack_bits(np.frombuffer(ids.as_buffer(), "<u4").astype(np.int64), lens, codes) for ids in some.column(4)]
+                cols = [*some.columns[:4], pa.array([b for b, _ in rows], pa.binary()), pa.array([m for _, m in rows], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "block", "doc_ids", "sizes", "bits", "marks"])
 
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(s), int(lengths[s])) for s in used], "id long, bits long").coalesce(1).write.parquet(f"{folder}/book")

@@ -20,7 +20,7 @@ import numpy as np
 from .common import LOWER, SPACE, WordHasher, groups_of, text_bytes
 
 #: Pieces and parts a process remembers; beyond that it forgets all and starts anew.
-MEMORY, PARTS = 800_000, 100_000
+MEMORY, PARTS = 300_000, 50_000
 BLOCK = 2 << 20
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
