@@ -176,6 +176,39 @@ def test_cross_parsing_equals_a_plain_parse():
             assert abs(m.phrases([np.frombuffer(codes, np.uint8)])[0, k] - n) <= first
 
 
+def test_languages_are_parsed_in_step(monkeypatch):
+    """One array has the edges of all automata and nothing else, and a character is one step for all languages."""
+    rng = np.random.default_rng(4)
+    alphabets = ["ab", "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x5200))), "z"]
+    train = {f"l{k}": "".join(rng.choice(list(a), 3000)) for k, a in enumerate(alphabets * 5)}
+    m = language_id.Model(train, even=False)
+    edges, width = m.edges, int(m.code.max()) + 1
+    automata = [language_id.automaton(language_id.encode(train[k], m.code)) for k in m.languages]
+    assert (edges.edge >= 0).sum() == sum(len(e) for states in automata for e in states)
+    assert len(edges.edge) < 2 * sum(len(e) + 1 for states in automata for e in states) + len(train) * width
+    for k, states in enumerate(automata):
+        number, todo = {0: edges.begin}, [(0, c, q) for c, q in states[0].items()]
+        while todo:  # the first state's edges are in `fresh`; others are in the array
+            p, c, q = todo.pop()
+            after, new = edges.step(np.full((1, 1), number[p]), np.array([c]), slice(k, k + 1))
+            assert bool(new[0, 0]) == (p == 0)
+            if q not in number and len(number) < 200:
+                todo += [(q, c, r) for c, r in states[q].items()]
+            assert number.setdefault(q, int(after[0, 0])) == after[0, 0]
+    steps = []
+    plain = language_id.Edges.step
+    monkeypatch.setattr(language_id.Edges, "step", lambda self, state, c, some=slice(None): steps.append(len(c)) or plain(self, state, c, some))
+    texts = [language_id.encode("".join(rng.choice(list(a), n)), m.code) for a, n in zip(alphabets, (700, 5000, 300, 20))]
+    got = m.phrases(texts)
+    assert len(steps) == -(-len(train) // language_id.AT_ONCE) * language_id.BLOCK
+    for text, counts in zip(texts, got):
+        blocks = ["".join(map(chr, text[i : i + language_id.BLOCK])) for i in range(0, len(text), language_id.BLOCK)]
+        for k, lang in enumerate(m.languages[:4]):
+            source = "".join(map(chr, language_id.encode(train[lang], m.code)))
+            most = sum(plain_phrases(b, source) for b in blocks)
+            assert most - len(blocks) <= counts[k] <= most + len(blocks)
+
+
 def test_rare_languages_leave_the_others_whole(spark, docs):
     """A language of one empty or short row costs the others nothing, and one of a few lines is learned as it is."""
     more = [(10**7, "", "xx"), (10**7 + 1, "zu kurz", "yy"), (10**7 + 2, "kwa zulu ngiyabonga kakhulu umuntu ngumuntu ngabantu sawubona unjani namhlanje siyaphila thina", "zu")]

@@ -5,15 +5,17 @@ to right into the longest phrases that occur in that text, one automaton step pe
 the language that needs the fewest phrases, normalised by log2 of its training length and the
 text's own length (bits per character), wins.
 
-The automaton's edges are stored in a hash table, so its size follows the training text and not the
+The edges of all automata are stored in one array, whose size follows the training text and not the
 number of letters, of which none are merged; where a state has no edge, a new phrase begins with
-that character. Texts are parsed in blocks of BLOCK characters, thousands
+that character. Languages are parsed in step, with one look-up for each character and language. Texts are parsed in blocks of BLOCK characters, thousands
 of blocks of all lengths at a time; a phrase never crosses a block's end, so memory is bounded for
 texts of any length and results don't depend on batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,8 @@ from .common import slices, tidy
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_LONGEST = 400, 40_000, 20_000
 BLOCK = 2048
 SLICE = 2 << 20
+#: Languages in which texts are parsed at a time.
+AT_ONCE = 16
 #: A text whose best language needs more bits per character than this is in none of them.
 MOST_BITS = 6.0
 #: Shorter texts have too few phrases for that: of these only characters count that a language's training text lacks.
@@ -59,53 +63,66 @@ def encode(text: str, code: np.ndarray) -> np.ndarray:
     return out[keep]
 
 
+def placed(edges: list[dict[int, int]], width: int) -> np.ndarray:
+    """A number above 0 for each state, all different, so that no two edges have one sum of their state's number and their character."""
+    number = np.zeros(len(edges), np.int64)
+    filled, named = bytearray(width), bytearray(b"\1") + bytearray(width - 1)
+    at, many = 0, 3
+    for p in sorted(range(len(edges)), key=lambda p: -len(edges[p])):
+        own = list(edges[p])
+        if len(own) < many:  # states of two edges, then those of one, fill what gaps the others left
+            at, many = 0, len(own)
+        while named[at] or any(filled[at + c] for c in own):
+            at += 1
+            if at + width > len(filled):
+                filled += bytes(at + width)
+                named += bytes(at + width)
+        number[p], named[at] = at, 1
+        for c in own:
+            filled[at + c] = 1
+    return number
+
+
+#: The lower half of an entry of Edges.
+HALF = (1 << 32) - 1
+
+
 class Edges:
-    """A hash table of a suffix automaton's edges: key state * width + c, value the next state.
+    """The edges of one suffix automaton a language in one array, by row displacement.
 
-    `fresh` has the state after a new phrase begins with c: that of the first character, or `begin`, which has
-    no edges, where the training text lacks c; texts start there too.
+    A state's number is its row's place: its edge for c is at state + c, and has that state in its upper half and the next one in the
+    lower. No two states have one number, so an entry tells whose it is. `fresh` has for each automaton the state after a new
+    phrase begins with c: that of the first character, or `begin`, which has no edges, where the training text lacks c; texts start there too.
     """
 
-    def __init__(self, edges: list[dict[int, int]], width: int) -> None:
-        self.width, self.begin = width, len(edges)
-        self.fresh = np.full(width, self.begin, np.int32)
-        for c, q in edges[0].items():
-            self.fresh[c] = q
-        key = np.array([p * width + c for p, known in enumerate(edges) for c in known], np.int64)
-        to = np.array([q for known in edges for q in known.values()], np.int32)
-        power = max(4, (2 * len(key)).bit_length())
-        self.mask, self.shift = (1 << power) - 1, np.uint64(64 - power)
-        self.key, self.to = np.full(1 << power, -1, np.int64), np.zeros(1 << power, np.int32)
-        slot = self.slot(key)
-        while len(key):
-            empty = self.key[slot] < 0
-            self.key[slot[empty]] = key[empty]  # of several for one slot the last stays
-            self.to[slot[empty]] = to[empty]
-            left = self.key[slot] != key
-            key, to, slot = key[left], to[left], (slot[left] + 1) & self.mask
-
-    def slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states, and where a new phrase begins."""
-        want = state * self.width + c
-        at = self.slot(want)
-        have = self.key[at]
-        out, new = self.to[at], have != want
-        open_ = np.flatnonzero(new & (have >= 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & self.mask
-            have = self.key[at[open_]]
-            hit = have == want[open_]
-            done = open_[hit]
-            out[done], new[done] = self.to[at[done]], False
-            open_ = open_[~hit & (have >= 0)]
-        return np.where(new, self.fresh[c], out), new
-
-
-def automaton(codes: np.ndarray, width: int) -> Edges:
-    """The suffix automaton of a text with codes below width."""
+    def __init__(self, automata: Iterable[list[dict[int, int]]], width: int) -> None:
+        self.begin, size, parts, fresh = 0, 0, [], []
+        for edges in automata:
+            number = placed(edges, width)
+            at = number[[p for p, known in enumerate(edges) for _ in known]] + size
+            to = number[[q for known in edges for q in known.values()]] + size
+            part = np.full(int(number.max()) + width, -1, np.int64)
+            part[at - size + np.array([c for known in edges for c in known], np.int64)] = at << 32 | to
+            first = np.full(width, self.begin, np.int64)
+            for c, q in edges[0].items():
+                first[c] = number[q] + size
+            parts.append(part)
+            fresh.append(first)
+            size += len(part)
+        self.edge = np.concatenate([np.full(width, -1, np.int64), *parts][bool(parts) :])
+        self.fresh = np.array(fresh, np.int64).reshape(-1, width)
+
+    def step(self, state: np.ndarray, c: np.ndarray, some: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Next states of some automata (a row each), and where a new phrase begins."""
+        edge = self.edge.take(state + c)
+        new = (edge >> 32) != state
+        edge &= HALF
+        np.copyto(edge, self.fresh[some].take(c, axis=1), where=new)
+        return edge, new
+
+
+def automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """The suffix automaton of a text: each state's edges, from the first state on."""
     edges, link, length = [{}], [-1], [0]
     last = 0
     for c in codes.tolist():
@@ -131,7 +148,7 @@ def automaton(codes: np.ndarray, width: int) -> Edges:
                     edges[p][c] = clone
                     p = link[p]
         last = cur
-    return Edges(edges, width)
+    return edges
 
 
 class Model:
@@ -145,7 +162,7 @@ class Model:
             least = min((len(c) for c in codes), default=0)
             codes = [c[: max(least, 1)] for c in codes]
         width = int(self.code.max()) + 1
-        self.tables = [automaton(c, width) for c in codes]
+        self.edges = Edges((automaton(c) for c in codes), width)
         self.known = np.zeros((len(codes), width), bool)
         for k, c in enumerate(codes):
             self.known[k, c] = True
@@ -165,12 +182,14 @@ class Model:
         flat = np.concatenate(coded).astype(np.int64) if len(coded) else np.zeros(0, np.int64)
         still = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
         out = np.zeros((len(coded), len(self.languages)))
-        for k, table in enumerate(self.tables):
-            state, count = np.full(len(size), table.begin, np.int64), np.zeros(len(size), np.int64)
+        for k in range(0, len(self.languages), AT_ONCE):
+            some = slice(k, k + AT_ONCE)
+            state = np.full((len(self.languages[some]), len(size)), self.edges.begin, np.int64)
+            count = np.zeros(state.shape, np.int64)
             for t, n in enumerate(still.tolist()):
-                state[:n], new = table.step(state[:n], flat[begin[:n] + t])
-                count[:n] += new
-            np.add.at(out[:, k], owner, count)
+                state, new = self.edges.step(state[:, :n], flat[begin[:n] + t], some)
+                count[:, :n] += new
+            np.add.at(out[:, some], owner, count.T)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
