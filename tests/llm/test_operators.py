@@ -323,6 +323,24 @@ def test_encoder_equals_the_library():
         assert got.tolist() == want
 
 
+def test_pieces_that_recur_are_learned_once(monkeypatch):
+    """A full memory drops what never came back, grows for a block of many pieces, and the ids stay those of the library."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "MEMORY", 2000)
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    common = [word() for _ in range(500)]
+    e, learned = tokens.Encoder(tokens.default_path()), Counter()
+    plain = e.learn
+    e.learn = lambda hashes, pieces: learned.update(p.decode() for p in pieces) or plain(hashes, pieces)
+    for fresh in [500] * 12 + [9000] + [500] * 4:
+        texts = [" ".join(common), " ".join(word() for _ in range(fresh)), None, common[0] * 300, " ".join(common[::-1])]
+        for got, want in zip(e.encode(pa.array(texts, pa.string())), library_ids(texts), strict=True):
+            assert got.tolist() == want
+    assert e.known < 4000 and all(learned[w] == 1 for w in common)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -339,6 +357,27 @@ def test_huffman_round_trip(spark, docs, odd, empty):
     assert huffman.round_trip(empty).count() == 0
 
 
+def test_blocks_are_decoded_in_lockstep():
+    """Blocks of any size are decoded together, in as many steps as a stretch has ids."""
+
+    class Counted(np.ndarray):
+        def take(self, at):
+            looked.append(len(at))
+            return np.asarray(self).take(at)
+
+    rng = np.random.default_rng(7)
+    blocks = [np.minimum(rng.geometric(0.02, n), 3000) for n in (70000, 1, 255, 256, 257, 5, 65536, 1000)]
+    lengths = huffman.code_lengths(np.bincount(np.concatenate([*blocks, np.arange(3001)])))
+    packed = [huffman.pack_bits(b, lengths, huffman.canonical(lengths)) for b in blocks]
+    table = huffman.decode_table(lengths).view(Counted)
+    for some in (range(len(blocks)), [1], [5, 1], [7, 2, 0]):
+        looked = []
+        got = huffman.unpack_bits([packed[k][0] for k in some], [packed[k][1] for k in some], [len(blocks[k]) for k in some], table)
+        assert all(np.array_equal(a, blocks[k]) for a, k in zip(got, some, strict=True))
+        assert len(looked) == min(huffman.STEP, max(len(blocks[k]) for k in some))
+    assert huffman.unpack_bits([], [], [], table) == []
+
+
 def test_token_files_of_one_id_in_many_ranges(spark):
     """Rows of one id, and equal rows, over several tasks: still in order of id and text."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

@@ -4,7 +4,7 @@ Counts of all ids give code lengths of at most LIMIT bits (package-merge); the c
 the lengths are the whole code book. Documents are ordered by id over the whole input, and gathered
 into blocks of about BLOCK ids. A block stores its documents' ids and lengths, its bits, and the bit
 offset of every STEP-th id, so any block, and any stretch of one, decodes by itself: the stretches of a
-block are decoded in lockstep with one lookup of LIMIT bits for each id.
+block, and of several blocks, are decoded in lockstep with one lookup of LIMIT bits for each id.
 
 Files are Parquet tables in the folder given: `book` (id, bits) and `blocks`.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_stored, slices, stored, tidy, work_dir
+from .common import drop_stored, groups_of, slices, stored, tidy, work_dir
 from .tokens import default_path, encoder
 
 LIMIT = 18
@@ -29,7 +29,7 @@ STEP = 256
 END_ID = 1
 #: Bytes of texts that are encoded at once.
 SLICE = 2 << 20
-#: Blocks that are compressed before they are handed on.
+#: Blocks that are compressed before they are handed on, and that are decoded in lockstep.
 AT_ONCE = 16
 
 # ---------------------------------------------------------------- the code
@@ -96,35 +96,37 @@ def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, step: int
     return words.astype(">u4").tobytes(), begin[::step].astype(np.int64)
 
 
-def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """For every `limit` bits the symbol they begin with, and its length."""
+def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """For every `limit` bits the symbol they begin with, times 256, and its length."""
     codes = canonical(lengths)
-    symbol, size = np.zeros(1 << limit, np.int32), np.ones(1 << limit, np.int8)
+    table = np.ones(1 << limit, np.int64)
     used = np.lexsort((np.arange(len(lengths)), lengths))
     used = used[lengths[used] > 0]
     room = np.int64(1) << (limit - lengths[used])
-    total = int(room.sum())
-    symbol[:total] = np.repeat(used, room)
-    size[:total] = np.repeat(lengths[used], room)
+    table[: int(room.sum())] = np.repeat(used << 8 | lengths[used], room)
     assert not len(used) or int(codes[used[0]]) == 0
-    return symbol, size
-
-
-def unpack_bits(bits: bytes, marks: np.ndarray, n: int, table, limit: int = LIMIT, step: int = STEP) -> np.ndarray:
-    """The n ids of a block."""
-    symbol, size = table
-    words = np.frombuffer(bits, ">u4").astype(np.uint64)
-    at = marks.copy()
-    out = np.zeros((len(marks), step), np.int32)
-    last = n - (len(marks) - 1) * step
-    for t in range(min(step, n)):
-        k = len(at) if t < last else len(at) - 1
-        w = at[:k] >> 5
-        window = (words[w] << np.uint64(32) | words[w + 1]) >> (64 - limit - (at[:k] & 31)).astype(np.uint64)
-        window = (window & np.uint64((1 << limit) - 1)).astype(np.int64)
-        out[:k, t] = symbol[window]
-        at[:k] += size[window]
-    return out.reshape(-1)[:n]
+    return table
+
+
+def unpack_bits(bits: list, marks: list[np.ndarray], sizes: list[int], table: np.ndarray, limit: int = LIMIT, step: int = STEP) -> list[np.ndarray]:
+    """The ids of blocks, so many (`sizes`) of each; the stretches of all blocks are decoded in lockstep.
+
+    A block's last stretch is decoded beyond its end, into the next block or the padding, and cut.
+    """
+    words = np.frombuffer(b"".join([*bits, bytes(4 * (step * limit // 32 + 3))]), ">u4").astype(np.uint64)
+    wide = words[:-1] << np.uint64(32) | words[1:]
+    begin = 8 * np.cumsum([0, *map(len, bits)])
+    at = np.concatenate([np.zeros(0, np.int64), *[m + o for m, o in zip(marks, begin.tolist())]])
+    out = np.zeros((step, len(at)), np.int32)
+    for t in range(min(step, max(sizes, default=0))):
+        window = wide.take(at >> 5)
+        window <<= (at & 31).view(np.uint64)
+        window >>= np.uint64(64 - limit)
+        entry = table.take(window.view(np.int64))
+        out[t] = entry >> 8
+        at += entry & 255
+    ids, first = out.T.reshape(-1), step * np.cumsum([0, *map(len, marks)])
+    return [ids[i : i + n] for i, n in zip(first.tolist(), sizes)]
 
 
 # ---------------------------------------------------------------- files
@@ -223,16 +225,18 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     def decode(batches):
         table = decode_table(shared.value)
         for batch in batches:
-            for k in range(batch.num_rows):
-                part, block, docs, sizes, bits, marks = (batch.column(c)[k] for c in range(6))
-                sizes = np.array(sizes.as_py(), np.int64)
-                ids = unpack_bits(bits.as_buffer(), np.array(marks.as_py(), np.int64), int(sizes.sum()), table).astype("<u4").tobytes()
-                ends = np.cumsum(sizes)
-                own = [ids[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
-                n = len(own)
-                cols = [pa.array([part.as_py()] * n, pa.int64()), pa.array([block.as_py()] * n, pa.int64()), docs.values, pa.array(ends - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in own], pa.int64())]
-                cols += [pa.array(own, pa.binary())] * with_ids
-                yield pa.RecordBatch.from_arrays(cols, ["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"][: len(cols)])
+            sizes = [x.values.to_numpy() for x in batch.column(3)]
+            totals = np.array([x.sum() for x in sizes], np.int64)
+            for i, j in groups_of(totals, AT_ONCE * BLOCK):
+                bits, marks = ([x.as_buffer() for x in batch.column(4)[i:j]], [x.values.to_numpy() for x in batch.column(5)[i:j]])
+                for k, ids in zip(range(i, j), unpack_bits(bits, marks, totals[i:j].tolist(), table)):
+                    part, block, docs = (batch.column(c)[k] for c in range(3))
+                    ids, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes[k])
+                    own = [ids[4 * a : 4 * b] for a, b in zip((ends - sizes[k]).tolist(), ends.tolist())]
+                    n = len(own)
+                    cols = [pa.array([part.as_py()] * n, pa.int64()), pa.array([block.as_py()] * n, pa.int64()), docs.values, pa.array(ends - sizes[k]), pa.array(sizes[k]), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                    cols += [pa.array(own, pa.binary())] * with_ids
+                    yield pa.RecordBatch.from_arrays(cols, ["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
     rows = blocks.mapInArrow(tidy(decode), "part long, block long, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     return rows.join(begins, ["part", "block"]).select("doc_id", (F.col("begin") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

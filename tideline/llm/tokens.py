@@ -3,7 +3,7 @@
 Texts of Latin letters, digits and ASCII marks are lower-cased and cut into pieces here, as the
 vocabulary's own rules say, for whole blocks of bytes at a time. Pieces are told apart by 64-bit
 hashes; only those that a process hasn't met go through the library's merges, thousands in one call. The ids
-of a block are then gathered from the table of known pieces. Texts with any other character are cut
+of a block are then gathered from the hash table of known pieces. Texts with any other character are cut
 at white space, across which the vocabulary never joins, and those parts go through the whole library.
 """
 
@@ -19,8 +19,9 @@ import numpy as np
 
 from .common import LOWER, SPACE, WordHasher, groups_of, text_bytes
 
-#: Pieces and parts a process remembers; beyond that it forgets all and starts anew.
+#: Pieces and parts a process remembers; beyond that it forgets parts, and pieces that didn't come back.
 MEMORY, PARTS = 300_000, 50_000
+HALF = (1 << 32) - 1
 BLOCK = 2 << 20
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -117,12 +118,51 @@ class Encoder:
         self.merges = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         self.hasher = WordHasher()
         self.parts: dict[bytes, np.ndarray] = {}
-        self.forget()
+        self.ids = np.zeros(0, "<u4")
+        self.clear(MEMORY)
+
+    def clear(self, room: int) -> None:
+        """An empty table of known pieces, for `room` of them: a slot has a piece's hash, where its ids begin in `ids` (upper half) and
+        how many there are (lower half; -1: free), and whether a later block had it again."""
+        power = (2 * room).bit_length()
+        self.shift, self.key, self.value = np.uint64(64 - power), np.zeros(1 << power, np.uint64), np.full(1 << power, -1, np.int64)
+        self.again, self.known = np.zeros(1 << power, bool), 0
+
+    def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Enter pieces that aren't in the table, each once."""
+        if 2 * (self.known + len(hashes)) > len(self.key):
+            old, again = self.value >= 0, self.key[self.again]
+            known, found = self.key[old], self.value[old]
+            self.clear(len(known) + len(hashes))
+            self.put(known, found)
+            self.again[self.find(again)[1]] = True
+        self.known += len(hashes)
+        at = (hashes >> self.shift).view(np.int64)
+        while len(at):
+            free = self.value[at] < 0
+            self.key[at[free]], self.value[at[free]] = hashes[free], values[free]  # of several for one slot the last stays
+            left = self.value[at] != values
+            hashes, values, at = hashes[left], values[left], (at[left] + 1) & (len(self.key) - 1)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each piece, -1 where it isn't known, and its slot."""
+        at = (hashes >> self.shift).view(np.int64)
+        value = self.value.take(at)
+        open_ = np.flatnonzero((self.key.take(at) != hashes) & (value >= 0))
+        while len(open_):
+            here = at[open_] = (at[open_] + 1) & (len(self.key) - 1)
+            value[open_] = self.value[here]
+            open_ = open_[(self.key[here] != hashes[open_]) & (value[open_] >= 0)]
+        return value, at
 
     def forget(self) -> None:
-        """Known pieces: sorted hashes, and for each where its ids begin in `ids` and how many there are."""
-        self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, "<u4")
-        self.begin = self.size = np.zeros(0, np.int64)
+        """Forget all pieces but those that a later block had again since the last time (half of MEMORY at most), as most new ones never come back."""
+        keep = np.flatnonzero(self.again)[: MEMORY // 2]
+        hashes, begin, size = self.key[keep], self.value[keep] >> 32, self.value[keep] & HALF
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.repeat(begin - ends + size, size) + np.arange(size.sum())]
+        self.clear(MEMORY)
+        self.put(hashes, ends - size << 32 | size)
 
     def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Learn new pieces by the library's merges alone. A piece ends at an id that ends a word."""
@@ -141,11 +181,8 @@ class Encoder:
             all_ids.append(ids)
             sizes.append(np.diff(ends, prepend=0))
         size = np.concatenate(sizes)
-        begin = len(self.ids) + np.cumsum(size) - size
+        self.put(hashes, len(self.ids) + np.cumsum(size) - size << 32 | size)
         self.ids = np.concatenate(all_ids)
-        h = np.concatenate([self.hashes, hashes])
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.begin, self.size = h[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
 
     def block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts, and n + 1 offsets."""
@@ -157,25 +194,20 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(len(offs), np.int64)
         h = self.hasher(low, starts, ends)
-        order = np.argsort(h)
-        first = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
-        which = np.empty(len(h), np.int64)
-        which[order] = np.cumsum(first) - 1
-        sample = order[first]
-        u = h[sample]
-        if len(self.hashes) > MEMORY:
+        if self.known > MEMORY:
             self.forget()
-        at = np.searchsorted(self.hashes, u)
-        new = np.ones(len(u), bool)
-        there = at < len(self.hashes)
-        new[there] = self.hashes[at[there]] != u[there]
-        if new.any():
+        value, at = self.find(h)
+        new = np.flatnonzero(value < 0)
+        self.again[at] = value >= 0
+        if len(new):
+            own, first = np.unique(h[new], return_index=True)
+            first = new[first]
             raw = low.tobytes()
-            self.learn(u[new], [raw[a:b] for a, b in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist())])
-            at = np.searchsorted(self.hashes, u)
-        size, begin = self.size[at][which], self.begin[at][which]
+            self.learn(own, [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            value[new] = self.find(h[new])[0]
+        size = value & HALF
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        ids = self.ids[np.repeat((value >> 32) - total[:-1], size) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, offs)]
 
     def whole(self, text: bytes) -> np.ndarray:
